@@ -53,11 +53,12 @@ def normalize_row(
 ) -> DataFrame:
     """Raw text columns to cells. Other columns pass through.
 
-    Three projections: one trims each raw text, one parses the trimmed text, the last only
-    picks among the parsed values, so no parse is repeated per struct field.
+    Stacked projections: trim each raw text, parse the trimmed text, then only pick among the
+    parsed values, so no parse is repeated per struct field.
     """
     date_formats = date_formats or {}
-    money, measured = money_columns or set(), measurement_columns or set()
+    money = money_columns or set()
+    measured = [c for c in columns if c in (measurement_columns or set())]
     trimmed = df.select("*", *[text.strip(F.col(f"`{c}`")).alias(f"__trim_{c}") for c in columns])
     parsed = []
     for c in columns:
@@ -67,8 +68,17 @@ def normalize_row(
         parsed.append(numbers.parse_number(trim, stripped=True).alias(f"__number_{c}"))
         parsed.append(text.normalize_text_value(raw, unicode_form).alias(f"__text_{c}"))
         if c in measured:
-            parsed.append(numbers.parse_measurement(trim).alias(f"__measure_{c}"))
+            unit, quantity = numbers.measurement_parts(trim)
+            parsed += [unit.alias(f"__unit_{c}"), quantity.alias(f"__quantity_{c}")]
     staged = trimmed.select(*df.columns, *parsed)
+    if measured:
+        standard = {
+            f"__standard_{c}": numbers.convert_unit(
+                F.col(f"`__quantity_{c}`"), F.col(f"`__unit_{c}`")
+            )
+            for c in measured
+        }
+        staged = staged.select("*", *[v.alias(k) for k, v in standard.items()])
 
     def build(c: str) -> Column:
         raw = F.col(f"`{c}`")
@@ -81,10 +91,10 @@ def normalize_row(
                            currency=numbers.currency_of(raw))
             out = out.when(number.isNotNull(), amount)
         if c in measured:
-            m = F.col(f"`__measure_{c}`")
+            value, unit = (F.col(f"`__standard_{c}`.{k}") for k in ("number", "unit"))
+            shown = numbers.format_measurement(value, unit)
             out = out.when(
-                m.isNotNull(),
-                _cell(raw, m["normalized"], "measurement", m["number"], unit=m["unit"]),
+                value.isNotNull(), _cell(raw, shown, "measurement", value, unit=unit)
             )
         kind = F.when(number.isNotNull(), F.lit("number"))
         return out.otherwise(_cell(raw, words, kind, number)).alias(c)

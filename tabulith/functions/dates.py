@@ -59,17 +59,19 @@ def _week_day(text: Column) -> Column:
     )
 
 
-def _stamp(text: Column) -> Column:
-    """Timestamp of a basic, extended or week date with an optional clock and offset."""
+def _stamp_text(text: Column) -> Column:
+    """A basic, extended or week date, with its optional clock, as `y-m-d[Tclock]`."""
     day = F.when(
         text.rlike(_WEEK),
         F.concat(_week_day(text).cast("string"), F.regexp_replace(text, _WEEK, "")),
     ).otherwise(F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=\D|$)", "$1-$2-$3"))
-    t = F.regexp_replace(day, r"^(.{10})\D(.*?)(?:[.,]\d+)?([Z+-].*)?$", "$1T$2$3")
-    layout = F.when(t.contains(":") & ~t.rlike(r"T\d{4}"), F.lit(_EXTENDED)).otherwise(
-        F.lit(_BASIC_CLOCK)
-    )
-    return F.try_to_timestamp(t, layout)
+    return F.regexp_replace(day, r"^(.{10})\D(.*?)(?:[.,]\d+)?([Z+-].*)?$", "$1T$2$3")
+
+
+def _stamp(text: Column) -> Column:
+    extended = text.contains(":") & ~text.rlike(r"T\d{4}")
+    layout = F.when(extended, F.lit(_EXTENDED)).otherwise(F.lit(_BASIC_CLOCK))
+    return F.unix_seconds(F.try_to_timestamp(text, layout))
 
 
 def date_epoch(col: Column, order: str | None, stripped: bool = False) -> Column:
@@ -79,7 +81,7 @@ def date_epoch(col: Column, order: str | None, stripped: bool = False) -> Column
     iso = _as_date(F.regexp_replace(text, ISO_LAYOUT, "$1-$2-$3"))
     # The rare layouts sit in a lambda: that keeps their long code out of the generated method,
     # which would otherwise grow past what the JVM compiles.
-    stamp = F.transform(F.array(text), lambda t: F.unix_seconds(_stamp(t)))[0]
+    stamp = F.transform(F.transform(F.array(text), _stamp_text), _stamp)[0]
     return (
         F.when(text.rlike(ISO_LAYOUT), seconds(iso))
         .when(text.rlike(PAIR_LAYOUT), seconds(_pair_date(text, order)))

@@ -120,28 +120,32 @@ def format_measurement(number: Column, unit: Column) -> Column:
     return F.concat(amount, F.lit(" "), unit)
 
 
+def measurement_parts(text: Column) -> tuple[Column, Column]:
+    """(unit as written, quantity) of a trimmed measurement text, NULLs when it is none."""
+    unit = F.when(text.rlike(_MEASUREMENT), F.regexp_replace(text, _MEASUREMENT, "$1$2"))
+    return unit, F.when(text.rlike(_MEASUREMENT), _plain_digits(text))
+
+
 def parse_measurement(col: Column) -> Column:
     """STRUCT<normalized, number, unit> for `number unit` or `unit number`, else NULL."""
-    text = strip(col)
-    given = F.when(text.rlike(_MEASUREMENT), F.regexp_replace(text, _MEASUREMENT, "$1$2"))
-    converted = convert_unit(_plain_digits(F.when(given.isNotNull(), text)), given)
-    number, unit = converted["number"], converted["unit"]
-    return F.when(
-        given.isNotNull() & number.isNotNull(),
-        F.struct(
-            format_measurement(number, unit).alias("normalized"),
-            number.alias("number"),
-            unit.alias("unit"),
-        ),
-    )
+    unit, number = measurement_parts(strip(col))
+
+    # Bound once by the lambda, used several times in its body.
+    def record(m: Column) -> Column:
+        return F.when(
+            m["number"].isNotNull(),
+            F.struct(
+                format_measurement(m["number"], m["unit"]).alias("normalized"),
+                m["number"].alias("number"),
+                m["unit"].alias("unit"),
+            ),
+        )
+
+    return F.transform(F.array(convert_unit(number, unit)), record)[0]
 
 
 def looks_like_measurement(col: Column) -> Column:
-    text = strip(col)
-    return F.coalesce(
-        text.rlike(_MEASUREMENT) & _plain_digits(F.when(text.rlike(_MEASUREMENT), text)).isNotNull(),
-        F.lit(False),
-    )
+    return measurement_parts(strip(col))[1].isNotNull()
 
 
 def format_number_display(number: Column) -> Column:

@@ -64,7 +64,7 @@ def resolve_columns(requests: DataFrame, columns: DataFrame) -> DataFrame:
     key = lambda c: F.lower(F.trim(c))
     ask = requests.select("*", F.trim("requested").alias("__raw"), key(F.col("requested")).alias("__key"))
     exact = columns.select("dataset_id", F.col("normalized_name").alias("__raw"),
-                           F.lit(True).alias("__exact"))
+                           F.lit(True).alias("__exact")).distinct()
     folded = columns.groupBy("dataset_id", key(F.col("normalized_name")).alias("__key")).agg(
         F.count(F.lit(1)).alias("__n"), F.min("normalized_name").alias("__folded")
     )
