@@ -131,8 +131,8 @@ def extract_keywords(col: Column) -> Column:
 
 
 def word_tokens(col: Column) -> Column:
-    """Distinct search tokens: word characters, 2 to 30 long, lower case."""
-    tokens = F.split(F.lower(col), r"(?U)[^\w]+")
+    """Distinct search tokens: letters and digits, 2 to 30 long, lower case."""
+    tokens = F.split(F.lower(col), r"[^\p{L}\p{N}\p{M}]+")
     return F.array_distinct(F.filter(tokens, lambda t: F.length(t).between(2, 30)))
 
 
