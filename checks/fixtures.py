@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulith.functions import cells
 from tabulith.operators import inference
-from tabulith.session import spread, tune
+from tabulith.session import scratch_folder, tune
+from tabulith.sources import cellstore
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -170,9 +171,26 @@ def hints(spark: SparkSession, sf: str, name: str, columns: list[str]) -> dict:
     return _hints[key]
 
 
+_stored: dict[tuple, str] = {}
+
+
+def raw_rows(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Raw rows in row order, spread over the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    return fixture(spark, sf, name).repartitionByRange(cores, "row_index")
+
+
 def cell_table(spark: SparkSession, sf: str, name: str, columns: list[str]) -> DataFrame:
-    raw = spread(fixture(spark, sf, name))
-    return cells.normalize_row(raw, columns, **hints(spark, sf, name, columns))
+    """The table as ingest leaves it: stored once per session, then read by every query."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        table = cells.normalize_row(
+            raw_rows(spark, sf, name), columns, **hints(spark, sf, name, columns)
+        )
+        folder = scratch_folder(spark, name)
+        cellstore.write_cells(cellstore.with_kinds(table), folder, 1)
+        _stored[key] = folder
+    return cellstore.read_cells(spark, _stored[key], 1)
 
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import rules as R
-from checks.fixtures import base, fixture, people, sales, with_
+from checks.fixtures import SALES, base, fixture, hints, raw_rows, sales, with_
 from tabulith.functions import cells, dates, numbers, text
 from tabulith.operators import headers
 from tabulith.session import spread
@@ -14,7 +14,6 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 SALES_WITH = with_("fx_sales", cells=R.SALES_CELLS)
-PEOPLE_WITH = with_("fx_people", cells=R.PEOPLE_CELLS)
 
 
 def column_query(name, table, key, columns, sql, is_base=False):
@@ -203,7 +202,8 @@ column_query(
 
 
 def normalize_row(spark, sf):
-    df = sales(spark, sf)
+    """The parse itself, raw text to cells."""
+    df = cells.normalize_row(raw_rows(spark, sf, "fx_sales"), SALES, **hints(spark, sf, "fx_sales", SALES))
     out = [F.col("row_index")]
     for c in ("customer", "status", "order_date", "amount", "weight", "note"):
         out += [F.col(f"{c}.normalized").alias(c), F.col(f"{c}.type").alias(f"{c}_type")]

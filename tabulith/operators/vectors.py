@@ -30,7 +30,7 @@ SLICE_ROWS = 100_000
 def embed_text(df: DataFrame, text: str = "text", width: int = fixed.EMBEDDING_WIDTH) -> DataFrame:
     """Adds `embedding`: token counts hashed into `width` buckets, scaled to length 1."""
     tokens = df.withColumn("__tokens", F.array_compact(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+")))
-    counted = HashingTF(width, inputCol="__tokens", outputCol="__counts").transform(tokens)
+    counted = HashingTF(numFeatures=width, inputCol="__tokens", outputCol="__counts").transform(tokens)
     unit = Normalizer(p=2.0, inputCol="__counts", outputCol="__unit").transform(counted)
     return unit.withColumn("embedding", vector_to_array("__unit", "float32")).drop(
         "__tokens", "__counts", "__unit"
