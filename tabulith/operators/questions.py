@@ -18,7 +18,7 @@ from tabulith.functions.text import (
     collapse_spaces, contains_phrase, normalize_phrase, stem_tokens, word_set,
 )
 from tabulith.operators import inference
-from tabulith.session import small_side
+from tabulith.session import materialize, small_side
 
 # --- fixed values: phrases that tell how a question wants its rows ---
 SINGLE_ROW = r"\b(?:one|single)\s+(?:deal|transaction|row|entry|order|sale|shipment)\b"
@@ -37,7 +37,7 @@ BLANK_GROUP = "(blank)"
 
 
 def _has(tokens: Column, words: list[str]) -> Column:
-    return F.arrays_overlap(tokens, word_set(words))
+    return F.arrays_overlap(tokens, word_set(words)) if words else F.lit(False)
 
 
 # ── features ──────────────────────────────────────────────────────────────────
@@ -96,24 +96,27 @@ def question_features(questions: DataFrame) -> DataFrame:
 # ── picks ─────────────────────────────────────────────────────────────────────
 
 
-def _overlap(column: str, tokens: Column, phrase: Column) -> Column:
+def column_stems(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Stems of the column names: a few words per schema, worked out once."""
+    if not columns:
+        return {}
+    one = df.sparkSession.range(1).select(*[stem_tokens(F.lit(c)) for c in columns]).first()
+    return dict(zip(columns, one))
+
+
+def _overlap(stems: list[str], tokens: Column, phrase: Column) -> Column:
     """3 per shared stem, 2 more for the whole name, 0.4 for a metric word; 0 without a share."""
-    own = F.array_distinct(stem_tokens(F.lit(column)))
-    shared = F.size(F.array_intersect(own, tokens))
-    whole = F.when(phrase.contains(F.array_join(stem_tokens(F.lit(column)), " ")), 2.0).otherwise(0.0)
-    metric = F.when(_has(own, fixed.METRIC_WORDS), 0.4).otherwise(0.0)
+    if not stems:
+        return F.lit(0.0)
+    shared = F.size(F.array_intersect(word_set(list(dict.fromkeys(stems))), tokens))
+    whole = F.when(phrase.contains(" ".join(stems)), 2.0).otherwise(0.0)
+    metric = 0.4 if set(stems) & set(fixed.METRIC_WORDS) else 0.0
     return F.when(shared > 0, shared * 3.0 + whole + metric).otherwise(0.0)
 
 
-def _role_bonus(column: str, roles: Column) -> Column:
-    own = stem_tokens(F.lit(column))
-    return sum(
-        (
-            F.when(F.array_contains(roles, role) & _has(own, words), 5.0).otherwise(0.0)
-            for role, words in fixed.ROLE_COLUMN_WORDS.items()
-        ),
-        F.lit(0.0),
-    )
+def _role_bonus(stems: list[str], roles: Column) -> Column:
+    served = [r for r, words in fixed.ROLE_COLUMN_WORDS.items() if set(stems) & set(words)]
+    return F.size(F.array_intersect(roles, word_set(served))) * 5.0 if served else F.lit(0.0)
 
 
 def _best(columns: list[str], score) -> Column:
@@ -137,29 +140,27 @@ def pick_columns(features: DataFrame, columns: list[str], numeric: set[str]) ->
     tokens, stems, roles = F.col("tokens"), F.col("stems"), F.col("roles")
     hinted, hint_stems = F.col("hint_tokens"), F.array_join("hint_tokens", " ")
 
-    fallback = F.lit(None).cast("string")
-    if numbers:
-        words = word_set(fixed.METRIC_WORDS)
-        fallback = F.array_max(F.array(*[
-            F.struct(
-                F.size(F.array_intersect(stem_tokens(F.lit(c)), words)).alias("n"),
-                F.lit(c.lower()).alias("l"), F.lit(c).alias("c"),
-            )
-            for c in numbers
-        ]))["c"]
-    metric = F.coalesce(_best(numbers, lambda c: _overlap(c, tokens, stems)), fallback)
-    said = _best(others, lambda c: _overlap(c, tokens, stems) + _role_bonus(c, roles))
+    words = column_stems(features, columns)
+    # Without a named one, the column with most metric words, the last by name of equals.
+    by_words = sorted(
+        numbers, key=lambda c: (len(set(words[c]) & set(fixed.METRIC_WORDS)), c.lower())
+    )
+    fallback = F.lit(by_words[-1] if by_words else None).cast("string")
+    metric = F.coalesce(_best(numbers, lambda c: _overlap(words[c], tokens, stems)), fallback)
+    said = _best(
+        others, lambda c: _overlap(words[c], tokens, stems) + _role_bonus(words[c], roles)
+    )
     picked = joined.select(
         "*",
         metric.alias("metric"),
-        _best(others, lambda c: _overlap(c, hinted, hint_stems)).alias("hinted_column"),
+        _best(others, lambda c: _overlap(words[c], hinted, hint_stems)).alias("hinted_column"),
         said.alias("said_column"),
     )
     first = F.lit(others[0]) if others else F.lit(None).cast("string")
     own_metric = F.lit(False)
     for c in numbers:
         own_metric = own_metric | (
-            (F.col("metric") == c) & F.arrays_overlap(stem_tokens(F.lit(c)), tokens)
+            (F.col("metric") == c) & _has(tokens, words[c])
         )
     # "How many boxes" asks for a sum once the metric is named.
     named = F.col("metric").isNotNull() & (own_metric | F.col("names_metric"))
@@ -262,10 +263,8 @@ def link_value_filters(
         .where("nth <= 3")
     )
     said_tokens = F.lit(False)
-    for i, (_, c) in enumerate(text_columns):
-        said_tokens = said_tokens | (
-            (F.col("column") == c) & F.arrays_overlap(stem_tokens(F.lit(c)), F.col("tokens"))
-        )
+    for c, stems in column_stems(features, [c for _, c in text_columns]).items():
+        said_tokens = said_tokens | ((F.col("column") == c) & _has(F.col("tokens"), stems))
     found = (
         features.select("qid", "phrase", "tokens")
         .join(runs.join(kept, "run"), "phrase")
@@ -446,7 +445,8 @@ def answer_questions(
     if numeric is None:
         numeric = {c for c, v in inference.verdicts(
             inference.detect_numeric_columns(table, columns)).items() if v}
-    planned = plan_questions(questions, table, columns, numeric)
+    # Read by several steps below: written once instead of being worked out again for each.
+    planned = materialize(plan_questions(questions, table, columns, numeric), "plans")
     plans = planned.select("plan_id", "filters", "metric_column", "plan_group").distinct()
 
     rows = _matched(plans, table, columns, numeric).select(
@@ -455,8 +455,11 @@ def answer_questions(
         F.when(F.col("plan_group").isNotNull(),
                group_label(F.try_element_at("texts", F.col("plan_group")))).alias("group_value"),
     )
-    stats = rows.groupBy("plan_id", "group_value").agg(
-        *[c.alias(n) for n, c in _proof(F.col("__m")).items()]
+    stats = materialize(
+        rows.groupBy("plan_id", "group_value").agg(
+            *[c.alias(n) for n, c in _proof(F.col("__m")).items()]
+        ),
+        "plan-stats",
     )
     sizes = stats.groupBy("plan_id").agg(F.sum("rows").alias("matched_rows"))
     asked = planned.join(sizes, "plan_id", "left").withColumn(

@@ -35,6 +35,16 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result that several later steps read, and read it back.
+
+    Being a table in the shared folder it outlives executors, and it cuts the lineage.
+    """
+    folder = scratch_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after seeing that the side is small; else leave it to the planner.
 
