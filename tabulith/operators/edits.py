@@ -11,7 +11,7 @@ from tabulith.functions import cells
 from tabulith.operators import inference
 from tabulith.operators.headers import normalize_names
 from tabulith.operators.vectors import embed_rows
-from tabulith.session import small_side
+from tabulith.session import materialize, small_side
 
 
 def latest_edits(edits: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,14 +30,16 @@ def apply_cell_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
     or row is not applied.
     """
     columns = cells.value_columns(table)
-    latest = small_side(latest_edits(edits, columns))
+    latest = small_side(materialize(latest_edits(edits, columns), "edits"))
     text = lambda c: F.coalesce(F.col(f"`{c}`.original"), F.lit(""))
     edited_text = [
         F.when(F.col(f"__new_{c}").isNotNull(), F.col(f"__new_{c}")["value"]).otherwise(text(c)).alias(c)
         for c in columns
     ]
     sample = inference.first_rows(table, fixed.EDIT_SAMPLE_ROWS).join(latest, "row_index", "left")
-    hints = inference.infer_hints(sample.select("row_index", *edited_text), columns)
+    # The sample is small and read by several inferences.
+    sample_text = materialize(sample.select("row_index", *edited_text), "edit-sample")
+    hints = inference.infer_hints(sample_text, columns)
     touched = table.join(latest, "row_index").select("row_index", *edited_text)
     untouched = table.join(latest.select("row_index"), "row_index", "left_anti")
     return untouched.select("row_index", *columns).unionByName(

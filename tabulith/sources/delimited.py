@@ -23,7 +23,8 @@ def delimiter_of(path: str) -> str:
 def check_files(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
     """(path, length, reason); reason NULL for an acceptable file.
 
-    The length filter reaches the file listing, so an oversized file is never read.
+    The length filter reaches the file listing, so an oversized file is never read. Files of
+    length zero are left out by Spark's own listing and hold nothing to check.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     too_large = files.where(F.col("length") > max_bytes).select(
@@ -37,7 +38,6 @@ def check_files(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_FILE_
         whole = whole | ((F.col("length") > fixed.SNIFF_BYTES) & F.is_valid_utf8(shorter))
     reason = (
         F.when(~F.lower("path").rlike(r"\.(csv|tsv)$"), "extension")
-        .when(F.col("length") == 0, "empty")
         .when(_has_nul(head), "binary")
         .when(~whole, "not_utf8")
     )
@@ -106,7 +106,8 @@ def infer_header(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .where((F.col("length") > 0) & (F.col("length") <= fixed.MAX_FILE_BYTES))
     )
-    head = F.decode(F.substring("content", 1, fixed.HEADER_SNIFF_BYTES), "UTF-8")
+    # Cutting may split a character, and some files are not UTF-8 at all: neither is an error here.
+    head = F.make_valid_utf8(F.substring("content", 1, fixed.HEADER_SNIFF_BYTES).cast("string"))
     text = F.regexp_replace(head, "^﻿", "")
     record = r'(?:[^"\r\n]|"(?:[^"]|"")*")*'
     delimiter = F.when(F.lower("path").endswith(".tsv"), "\t").otherwise(",")
