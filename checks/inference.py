@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import rules as R
-from checks.fixtures import PEOPLE, SALES, fixture, hints, people, sales, with_
+from checks.fixtures import PEOPLE, SALES, fixture, hints, people, raw_rows, sales, with_
 from tabulith.operators import inference
 
 SALES_WITH = with_("fx_sales", cells=R.SALES_CELLS)
@@ -22,7 +22,7 @@ def per_column(columns, expression: str, source: str) -> str:
 
 QUERIES = {
     "infer_date_formats": lambda s, sf: inference.infer_date_formats(
-        fixture(s, sf, "fx_sales"), SALES),
+        raw_rows(s, sf, "fx_sales"), SALES),
     "infer_money_columns": lambda s, sf: inference.infer_money_columns(
         fixture(s, sf, "fx_sales"), SALES),
     "infer_measurement_columns": lambda s, sf: inference.infer_measurement_columns(

@@ -179,3 +179,8 @@ SELECT qid, c AS "column", v AS "value", len(string_split(v, ' ')) * 5.0::DOUBLE
   CASE WHEN c.balance_number IS NULL OR abs(c.balance_number - a.metric_value) >= 1e-9 THEN 'rank_metric_differs' END,
   CASE WHEN c.row_index IS NULL THEN 'citation_missing' END) AS e FROM fx_answers a LEFT JOIN cells c ON c.row_index = a.source_row_index) a""",
 }
+
+for _name, _column in (("pick_metric_column", "picked_metric"), ("pick_group_column", "group_column"),
+                       ("pick_answer_column", "answer_column")):
+    QUERIES[_name] = lambda s, sf, c=_column: picks(s, sf).select("qid", c)
+    ORACLES[_name] = f"SELECT qid, {_column} FROM ({ORACLES['pick_columns']})"

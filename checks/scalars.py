@@ -244,6 +244,16 @@ SELECT row_index, amount AS normalized, amount_original AS original,
  CASE WHEN amount_number IS NOT NULL THEN 'money' END AS typed, round(amount_number, 2) AS amount_value,
  round(weight_number, 6) AS weight_value, NULL::DOUBLE AS date_value FROM cells"""
 
+for _name, _accessor, _sql in (
+    ("get_normalized", cells.get_normalized, "amount"),
+    ("get_original", cells.get_original, "amount_original"),
+    ("get_typed", lambda c: cells.get_typed(c)["type"], "CASE WHEN amount_number IS NOT NULL THEN 'money' END"),
+    ("numeric_value", lambda c: F.round(cells.numeric_value(c), 2), "round(amount_number, 2)"),
+):
+    QUERIES[_name] = lambda spark, sf, f=_accessor: sales(spark, sf).select(
+        "row_index", f(F.col("amount")).alias("result"))
+    ORACLES[_name] = SALES_WITH + f"SELECT row_index, {_sql} AS result FROM cells"
+
 QUERIES["flatten_normalized"] = lambda spark, sf: cells.flatten_normalized(sales(spark, sf))
 ORACLES["flatten_normalized"] = SALES_WITH + (
     "SELECT row_index, customer, status, order_date, amount, weight, note FROM cells"

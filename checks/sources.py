@@ -110,6 +110,8 @@ QUERIES = {
     "assign_row_index": lambda s, sf: delimited.assign_row_index(
         s.read.parquet(f"{sf}/orders.parquet")).select("row_index", "o_orderkey"),
     "write_cells": written_cells,
+    "read_cells": lambda s, sf: sales(s, sf).where("status.normalized = 'F'").select(
+        "row_index", F.col("amount.number").alias("amount")),
     "ingest_files": ingest_files,
     "decode_row_json": decode,
     "build_table_profile": profile,
@@ -127,6 +129,7 @@ ORACLES = {
  nullif(note, '') AS note FROM fx_sales""",
     "assign_row_index": "SELECT o_orderkey AS row_index, o_orderkey FROM orders",
     "write_cells": SALES_WITH + FLAT,
+    "read_cells": SALES_WITH + "SELECT row_index, amount_number AS amount FROM cells WHERE status = 'F'",
     "ingest_files": SALES_WITH + FLAT.replace("customer,", "customer AS customer_id,"),
     "decode_row_json": """SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS plain,
  CASE WHEN event_type <> 'error' THEN props->>'$.k' END AS short, CASE WHEN event_type <> 'error' THEN event_type END AS "full",

@@ -114,13 +114,25 @@ def is_iso_text(col: Column) -> Column:
     return strip(col).rlike(r"^\d{4}-\d{2}-\d{2}$")
 
 
-def is_pair_layout(col: Column) -> Column:
-    return strip(col).rlike(PAIR_LAYOUT)
+_ABOVE_12 = r"(?:1[3-9]|[2-9]\d)"
+_ANY_LAYOUT = (
+    rf"^(?:\d{{4}}{_SEP}\d{{1,2}}{_SEP}\d{{1,2}}|\d{{1,2}}{_SEP}\d{{1,2}}{_SEP}\d{{2,4}}){_CLOCK}$"
+)
+_FIRST_ABOVE = rf"^{_ABOVE_12}{_SEP}\d{{1,2}}{_SEP}\d{{2,4}}{_CLOCK}$"
+_SECOND_ABOVE = rf"^\d{{1,2}}{_SEP}{_ABOVE_12}{_SEP}\d{{2,4}}{_CLOCK}$"
 
 
 def is_date_layout(col: Column) -> Column:
-    text = strip(col)
-    return text.rlike(ISO_LAYOUT) | text.rlike(PAIR_LAYOUT)
+    return strip(col).rlike(_ANY_LAYOUT)
+
+
+def first_above_12(col: Column) -> Column:
+    """An `a/b/year` text whose a can only be a day."""
+    return strip(col).rlike(_FIRST_ABOVE)
+
+
+def second_above_12(col: Column) -> Column:
+    return strip(col).rlike(_SECOND_ABOVE)
 
 
 def date_part_bucket(col: Column, part: str) -> Column:

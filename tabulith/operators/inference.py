@@ -69,13 +69,10 @@ def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
     row = F.col("row_index")
 
     def first_pass(raw: Column) -> dict[str, Column]:
-        text = strip(raw)
-        part = lambda i: F.regexp_extract(text, dates.PAIR_LAYOUT, i).cast("int")
-        pair = text.rlike(dates.PAIR_LAYOUT)
         return {
-            "seen": F.count_if(dates.is_date_layout(text)),
-            "first": F.min(F.when(F.when(pair, part(1)) > 12, row)),
-            "second": F.min(F.when(F.when(pair, part(2)) > 12, row)),
+            "seen": F.count_if(dates.is_date_layout(raw)),
+            "first": F.min(F.when(dates.first_above_12(raw), row)),
+            "second": F.min(F.when(dates.second_above_12(raw), row)),
         }
 
     found = _per_column(df, columns, first_pass).collect()
