@@ -49,9 +49,9 @@ def normalize_row(
     date_formats: dict[str, str | None] | None = None,
     money_columns: set[str] | None = None,
     measurement_columns: set[str] | None = None,
-    unicode_form: bool = False,
+    unicode_columns: set[str] | None = None,
 ) -> DataFrame:
-    """Raw text columns to cells. Other columns pass through.
+    """Raw text columns to cells. Other columns pass through; `unicode_columns` get NFC first.
 
     Stacked projections: trim each raw text, parse the trimmed text, then only pick among the
     parsed values, so no parse is repeated per struct field.
@@ -66,7 +66,8 @@ def normalize_row(
         epoch = dates.date_epoch(trim, date_formats.get(c), stripped=True)
         parsed.append(epoch.alias(f"__epoch_{c}"))
         parsed.append(numbers.parse_number(trim, stripped=True).alias(f"__number_{c}"))
-        parsed.append(text.normalize_text_value(raw, unicode_form).alias(f"__text_{c}"))
+        nfc = c in (unicode_columns or set())
+        parsed.append(text.normalize_text_value(raw, nfc).alias(f"__text_{c}"))
         if c in measured:
             unit, quantity = numbers.measurement_parts(trim)
             parsed += [unit.alias(f"__unit_{c}"), quantity.alias(f"__quantity_{c}")]

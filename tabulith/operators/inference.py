@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulith import fixed
 from tabulith.functions import cells, dates, numbers
-from tabulith.functions.text import strip
+from tabulith.functions.text import NFC_SUSPECT, strip
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
@@ -58,24 +58,26 @@ def _not_blank(text: Column) -> Column:
 # ── raw text columns ──────────────────────────────────────────────────────────
 
 
-def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`date_format` dmy, mdy or NULL per column, from its first 500 date-like values.
+def scan_columns(df: DataFrame, columns: list[str]) -> dict[str, tuple[str | None, bool]]:
+    """{column: (date format, may need NFC)} from one pass over all rows.
 
-    Whether a day above 12 lies among those 500 is decided by counting the date-like values
-    before its first occurrence, so no list of values is ever gathered. The second pass runs
-    only when a first occurrence lies beyond row 500.
+    The date format rests on the first 500 date-like values of a column. Whether a day above 12
+    lies among those is decided by counting the date-like values before its first occurrence, so
+    no list of values is ever gathered. Only a first occurrence beyond row 500 takes a second
+    pass, with one number per such column as its result.
     """
     limit = fixed.DATE_FORMAT_SAMPLES
     row = F.col("row_index")
-
-    def first_pass(raw: Column) -> dict[str, Column]:
-        return {
+    found = _per_column(
+        df,
+        columns,
+        lambda raw: {
             "seen": F.count_if(dates.is_date_layout(raw)),
             "first": F.min(F.when(dates.first_above_12(raw), row)),
             "second": F.min(F.when(dates.second_above_12(raw), row)),
-        }
-
-    found = _per_column(df, columns, first_pass).collect()
+            "suspect": F.coalesce(F.bool_or(raw.rlike(NFC_SUSPECT)), F.lit(False)),
+        },
+    ).collect()
     late = {
         (r["column"], side): r[side]
         for r in found
@@ -90,7 +92,7 @@ def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
         ]
         ranks = dict(zip(late, df.agg(*counts).first()))
 
-    def verdict(r) -> str | None:
+    def date_format(r) -> str | None:
         day_first, month_first = (
             r[s] is not None and ranks.get((r["column"], s), 0) < limit for s in ("first", "second")
         )
@@ -98,8 +100,14 @@ def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
             return None
         return "mdy" if month_first else "dmy"
 
+    return {r["column"]: (date_format(r), r["suspect"]) for r in found}
+
+
+def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`date_format` dmy, mdy or NULL per column."""
+    found = scan_columns(df, columns)
     return df.sparkSession.createDataFrame(
-        [(r["column"], verdict(r)) for r in found], "column string, date_format string"
+        [(c, f) for c, (f, _) in found.items()], "column string, date_format string"
     )
 
 
@@ -130,13 +138,16 @@ def infer_measurement_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def infer_hints(df: DataFrame, columns: list[str]) -> dict:
-    """Keyword arguments for `normalize_row`, from the three inferences above."""
+def infer_hints(df: DataFrame, columns: list[str], sample: DataFrame | None = None) -> dict:
+    """Keyword arguments for `normalize_row`. `sample`: the first rows, if already at hand."""
+    sample = df if sample is None else sample
+    scanned = scan_columns(df, columns)
     return {
-        "date_formats": verdicts(infer_date_formats(df, columns)),
-        "money_columns": {c for c, v in verdicts(infer_money_columns(df, columns)).items() if v},
+        "date_formats": {c: f for c, (f, _) in scanned.items()},
+        "unicode_columns": {c for c, (_, suspect) in scanned.items() if suspect},
+        "money_columns": {c for c, v in verdicts(infer_money_columns(sample, columns)).items() if v},
         "measurement_columns": {
-            c for c, v in verdicts(infer_measurement_columns(df, columns)).items() if v
+            c for c, v in verdicts(infer_measurement_columns(sample, columns)).items() if v
         },
     }
 

@@ -4,34 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabulith import fixed
 from tabulith.functions import cells
-from tabulith.functions.text import NFC_SUSPECT
 from tabulith.operators import inference
+from tabulith.session import materialize
 from tabulith.sources import cellstore, delimited
 
 
-def needs_unicode_form(df: DataFrame, columns: list[str]) -> bool:
-    """Whether any value may not be in NFC. Stops at the first one found."""
-    suspect = delimited.any_match([F.col(f"`{c}`").rlike(NFC_SUSPECT) for c in columns])
-    return not df.where(suspect).isEmpty()
-
-
 def text_columns(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if t == "string" and not cells.is_internal(n)]
 
 
-def to_cells(df: DataFrame, unicode_form: bool | None = None) -> DataFrame:
-    """Raw rows with `row_index` to cells: infer on samples, then one pass over the rows.
+def to_cells(df: DataFrame) -> DataFrame:
+    """Raw rows with `row_index` to cells, each column's kind noted in the schema.
 
-    `unicode_form` None looks for values that need NFC first, and pays for it only if so.
+    Three passes over the rows: one to fetch the first rows, from which types are inferred, one
+    for the date formats (and whether any text needs NFC), and the parse itself, which is lazy.
     """
     columns = text_columns(df)
-    if unicode_form is None:
-        unicode_form = needs_unicode_form(df, columns)
-    hints = inference.infer_hints(df, columns)
-    out = cells.normalize_row(df, columns, unicode_form=unicode_form, **hints)
+    sample = materialize(inference.first_rows(df, fixed.TYPE_VOTE_ROWS), "first-rows")
+    hints = inference.infer_hints(df, columns, sample)
+    out = cells.normalize_row(df, columns, **hints)
     metadata = {f.name: f.metadata for f in df.schema.fields}
-    return out.select(*[F.col(f"`{c}`").alias(c, metadata=metadata[c]) for c in out.columns])
+    named = out.select(*[F.col(f"`{c}`").alias(c, metadata=metadata[c]) for c in out.columns])
+    return cellstore.with_kinds(named, cells.normalize_row(sample, columns, **hints))
 
 
 def ingest(

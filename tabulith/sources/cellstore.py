@@ -29,9 +29,12 @@ def read_cells(spark: SparkSession, path: str, dataset_id: int) -> DataFrame:
     return table.drop("dataset_id")
 
 
-def with_kinds(df: DataFrame) -> DataFrame:
-    """Store the inferred kind of every cell column in the schema, for the queries to come."""
-    kinds = inference.verdicts(inference.infer_column_kinds(df))
+def with_kinds(df: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """Store the inferred kind of every cell column in the schema, for the queries to come.
+
+    `sample`: the first rows as cells, if already at hand.
+    """
+    kinds = inference.verdicts(inference.infer_column_kinds(df if sample is None else sample))
     return df.select(
         *[
             F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, "kind": kinds[f.name]})

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabulith import fixed
 from tabulith.functions import dates, numbers
-from tabulith.functions.text import strip
 from tabulith.operators.headers import normalize_names
-from tabulith.session import small_side
+from tabulith.session import materialize, small_side
 
 
 def delimiter_of(path: str) -> str:
@@ -196,15 +193,9 @@ def assign_row_index(df: DataFrame) -> DataFrame:
         .select("__file", "__block", "__first",
                 (F.col("__file_start") + F.col("__before")).alias("__start"))
     )
+    # One row per split, counted once however often the numbered rows are read later.
+    starts = materialize(starts, "splits")
     index = F.col("__start") + F.col("__id") - F.col("__first")
     return located.join(small_side(starts), ["__file", "__block"]).select(
         index.alias("row_index"), *[F.col(f"`{c}`") for c in df.columns]
     )
-
-
-def any_match(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def is_blank_row(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.coalesce(strip(F.col(f"`{c}`")), F.lit("")) == "" for c in columns])

@@ -16,7 +16,7 @@ def table(spark, columns, rows):
     width = len(columns)
     padded = [(i, *r, *[None] * (width - len(r))) for i, r in enumerate(rows)]
     schema = "row_index bigint, " + ", ".join(f"`{c}` string" for c in columns)
-    return cellstore.with_kinds(ingest.to_cells(spark.createDataFrame(padded, schema)))
+    return ingest.to_cells(spark.createDataFrame(padded, schema))
 
 
 def indices(df):
