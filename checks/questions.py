@@ -54,7 +54,7 @@ def shown_answers(modes, grouped=None):
         a = answers(s, sf).where(F.col("operation").isin(modes))
         if grouped is not None:
             a = a.where(F.col("group_by_column").isNotNull() if grouped else F.col("group_by_column").isNull())
-        return a.select("qid", "operation", "group_by_column", "group_value", F.round("metric_value", 2).alias("metric_value"),
+        return a.select("qid", "operation", "group_by_column", "group_value", F.round("metric_value", 4).alias("metric_value"),
                         "matched_rows", "source_row_index", "answer_column", "answer_value", "answer")
     return run
 
@@ -128,7 +128,7 @@ _ANSWERS = f"""
 
 def answered(where: str) -> str:
     return with_("fx_questions", cells=R.PEOPLE_CELLS, k=_K, a=_ANSWERS) + (
-        "SELECT qid, operation, CAST(g AS VARCHAR) AS group_by_column, CAST(gv AS VARCHAR) AS group_value, round(v, 2) AS metric_value, "
+        "SELECT qid, operation, CAST(g AS VARCHAR) AS group_by_column, CAST(gv AS VARCHAR) AS group_value, round(v, 4) AS metric_value, "
         "CAST(n AS BIGINT) AS matched_rows, src AS source_row_index, CAST(ac AS VARCHAR) AS answer_column, CAST(av AS VARCHAR) AS answer_value, answer FROM a WHERE " + where)
 
 
