@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "syncmers", "secrets", "urlfilter", "packing", "langid"]
+MODULES = ["sharding", "syncmers", "secrets", "urlfilter", "packing", "langid",
+           "decontamination", "simhash", "linededup"]
 
 
 def _gather(name: str) -> dict:
