@@ -162,13 +162,14 @@ def predict(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """The columns `keys` with lang_pred, score and rejected. The model has a fixed size (one
     number per bucket and language) and is sent to each executor once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keys, F.col("text").cast("string").alias("__text"))
+    held = "text" if "text" in keys else "__text"
+    rows = docs.select(*keys, *([] if held in keys else [F.col("text").alias(held)]))
     schema = rows.select(*keys).schema.add("lang_pred", "string").add("score", "double").add(
         "rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shared.value.predict(t) for t in b.column("__text").to_pylist()]
+            got = [shared.value.predict(t) for t in b.column(held).to_pylist()]
             new = [pa.array([g[i] for g in got], t)
                    for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["sharding", "syncmers", "secrets", "urlfilter", "packing", "langid",
-           "decontamination", "simhash", "linededup"]
+           "decontamination", "simhash", "linededup", "katz"]
 
 
 def _gather(name: str) -> dict:
