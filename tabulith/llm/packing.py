@@ -16,6 +16,7 @@ its own; an empty table gives no pieces. Extra columns of the input are not carr
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -61,22 +63,20 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text, without closing id."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without closing id. The library is asked once,
+        for the units of all texts that aren't known yet."""
+        known, new = self.known, set()
+        split = []
         for text in texts:
-            if self.special and self.special.search(text):  # may stand across units
-                yield self._encode([text])[0]
-                continue
-            units = BETWEEN.split(text)
-            known = self.known
-            new = [u for u in dict.fromkeys(units) if u not in known]
-            if not new:
-                yield b"".join(map(known.__getitem__, units))
-                continue
-            fresh = dict(zip(new, self._encode(new)))
-            if len(known) < REMEMBERED:
-                known.update((u, i) for u, i in fresh.items() if len(u) <= 64)
-            yield b"".join([fresh[u] if u in fresh else known[u] for u in units])
+            whole = self.special and self.special.search(text)  # may stand across units
+            split.append([text] if whole else BETWEEN.split(text))
+            new |= set(split[-1]).difference(known)
+        units = list(new)
+        fresh = dict(zip(units, self._encode(units)))
+        if len(known) < REMEMBERED:
+            known.update((u, i) for u, i in fresh.items() if len(u) <= 64)
+        return [b"".join([fresh[u] if u in fresh else known[u] for u in units]) for units in split]
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -94,6 +94,10 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids: the pieces of each document (doc_id,
     text), closing id included. `path` is a vocabulary file of the tokenizers library."""
@@ -113,7 +117,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
             return pa.RecordBatch.from_arrays(cols, [*names, "ids"])
 
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             rows, blobs, held = [], [], 0
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts)):
