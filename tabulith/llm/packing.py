@@ -36,7 +36,7 @@ END = np.zeros(1, "<u4").tobytes()
 #: splitting rule, so what stands between two such places has the same ids wherever it occurs.
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 #: Units whose ids a worker remembers; others are encoded each time they come.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 
 class Encoder:
@@ -76,7 +76,14 @@ class Encoder:
         fresh = dict(zip(units, self._encode(units)))
         if len(known) < REMEMBERED:
             known.update((u, i) for u, i in fresh.items() if len(u) <= 64)
-        return [b"".join([fresh[u] if u in fresh else known[u] for u in units]) for units in split]
+        return [_join(units, known, fresh) for units in split]
+
+
+def _join(units: list[str], known: dict[str, bytes], fresh: dict[str, bytes]) -> bytes:
+    try:
+        return b"".join(map(known.__getitem__, units))
+    except KeyError:  # some unit isn't remembered
+        return b"".join([fresh[u] if u in fresh else known[u] for u in units])
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -94,13 +101,15 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
+           with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids: the pieces of each document (doc_id,
-    text), closing id included. `path` is a vocabulary file of the tokenizers library."""
+    text), closing id included; `ids` is NULL unless asked for. `path` is a vocabulary file of
+    the tokenizers library."""
     path = path or public_tokenizers.path(VOCABULARY)
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
               "ids array<int>")
@@ -112,6 +121,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
         def batch(rows, blobs):
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            if not with_ids:
+                return pa.RecordBatch.from_arrays(
+                    [*cols, pa.nulls(len(rows), pa.list_(pa.int32()))], [*names, "ids"])
             flat = np.frombuffer(b"".join(blobs), "<i4")
             ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
@@ -126,7 +138,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 for n in cuts(total, capacity):
                     blob = ids[4 * start: 4 * (start + n)]
                     rows.append((doc, start, n, zlib.crc32(blob), total))
-                    blobs.append(blob)
+                    if with_ids:
+                        blobs.append(blob)
                     start, held = start + n, held + n
                 if held > 2_000_000:
                     yield batch(rows, blobs)
@@ -174,7 +187,7 @@ def sequences(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Where every piece of every document lies; ids themselves can be had again by `pieces`."""
-    rows = materialize(pieces(docs, capacity, path).drop("ids"), "pieces")
+    rows = materialize(pieces(docs, capacity, path, with_ids=False).drop("ids"), "pieces")
     return place(rows, capacity)
 
 
