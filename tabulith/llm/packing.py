@@ -35,6 +35,10 @@ END = np.zeros(1, "<u4").tobytes()
 #: A single space between two other characters always begins a new unit of the vocabulary's own
 #: splitting rule, so what stands between two such places has the same ids wherever it occurs.
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+#: White space other than the space and the line break.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Marks the name of the first unit of a text.
+FIRST = "\0"
 #: Units whose ids a worker remembers; others are encoded each time they come.
 REMEMBERED = 1_200_000
 #: Units that the library is given at a time.
@@ -63,19 +67,35 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
+    def units(self, text: str) -> list[str]:
+        """Names of a text's units: FIRST and the unit for the first, for others the unit without
+        its leading space."""
+        if FIRST in text or (self.special and self.special.search(text)):
+            return [FIRST + text]  # as a whole
+        if "  " in text or "\n " in text or " \n" in text or OTHER_SPACE.search(text):
+            first, *rest = BETWEEN.split(text)
+            return [FIRST + first, *[u[1:] for u in rest]]
+        out = text.split(" ")
+        out[0] = FIRST + out[0]
+        if out[-1] == "":  # the text ends with a space, which is no place to cut
+            out.pop()
+            last = out.pop()
+            out.append(last + " ")
+        return out if len(out) == 1 or out[0] != FIRST else [out[0] + " " + out[1], *out[2:]]
+
+    def _encode(self, names: list[str]) -> dict[str, bytes]:
         """Ids of each unit. Units without line breaks pass many at a time, a line each: the
         breaks have an id that nothing else has, and change nothing in the units beside them."""
         plain, odd = [], []
-        for u in units:
-            bare = u.strip()
-            ok = "\n" not in u and bare and (bare == u or (u[0] == " " and bare == u[1:]))
+        for u in names:
+            ok = u[0] != FIRST and "\n" not in u and u == u.strip()
             (plain if ok and self.line is not None else odd).append(u)
-        got = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast(
+            [u[1:] if u[0] == FIRST else " " + u for u in odd], add_special_tokens=False)
         out = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(odd, got)}
         for i in range(0, len(plain), LINES):
             some = plain[i: i + LINES]
-            e = self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0]
+            e = self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(ids == self.line)
             blob, starts = ids.tobytes(), (4 * np.append(0, ends + 1)).tolist()
@@ -87,11 +107,9 @@ class Encoder:
         """Little-endian 32-bit ids of each text, without closing id. The library is asked once,
         for the units of all texts that aren't known yet."""
         known, new = self.known, set()
-        split = []
-        for text in texts:
-            whole = self.special and self.special.search(text)  # may stand across units
-            split.append([text] if whole else BETWEEN.split(text))
-            new |= set(split[-1]).difference(known)
+        split = [self.units(text) for text in texts]
+        for units in split:
+            new.update(set(units).difference(known))
         fresh = self._encode(list(new))
         if len(known) < REMEMBERED:
             known.update((u, i) for u, i in fresh.items() if len(u) <= 64)
