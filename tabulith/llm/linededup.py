@@ -24,36 +24,61 @@ from tabulith.llm.common import connected, materialize, table
 EDITS, SHORTEST = 2, 24
 
 
-def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment, starts from 1; longer ones last."""
-    base, rest = F.floor(length / parts).cast("int"), length % parts
-    out = []
-    for i in range(parts):
-        longer_before = F.greatest(F.lit(0), F.lit(i - parts) + rest)
-        longer = (rest > parts - 1 - i).cast("int")
-        out.append((F.lit(1) + base * i + longer_before, base + longer))
-    return out
-
-
-def entries(line: Column, edits: int = EDITS, shortest: int = SHORTEST) -> Column:
-    """All (sig, own) of a line: own ones are indexed and looked up, others looked up only."""
-    length, parts, out = F.char_length(line), edits + 1, []
-    for less in range(edits + 1):
-        for i, (start, size) in enumerate(segments(length - less, parts)):
-            # Edits before the segment: at most i; after it: at most edits - i.
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                ok = (at >= 1) & (at + size - 1 <= length) & (length - less >= shortest)
-                sig = F.xxhash64(length - less, F.lit(i), F.substring(line, at, size))
-                own = less == 0 and shift == 0
-                out.append(F.when(ok, F.struct(sig.alias("sig"), F.lit(own).alias("own"))))
-    return F.array(*out)
-
-
-def within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether two texts of more than `edits` characters are within `edits` edits.
+def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """(sig, id, own) of each line (id, line): own ones are indexed and looked up, the others
+    looked up only.
+
+    A line of n characters has edits + 1 segments of n // (edits + 1) characters, the last ones
+    one longer. Looked up is, for a line `less` characters shorter and its segment i, each start
+    that leaves at most i edits before the segment and at most edits - i after it.
+    """
+    parts = edits + 1
+    tries = [
+        (less, i, shift)
+        for less in range(parts) for i in range(parts)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+    tried = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift"))
+                      for a, b, c in tries])
+    each = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(tried).alias("t"))
+    each = each.select("id", "line", "n", (F.col("n") - F.col("t.less")).alias("of"), "t.*")
+    base, rest = F.expr(f"of div {parts}"), F.col("of") % parts
+    size = base + (rest >= parts - F.col("i")).cast("int")
+    start = 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") + rest - parts)
+    each = each.select("id", "line", "n", "of", "i", "less", "shift", size.cast("int").alias("size"),
+                       (start + F.col("shift")).cast("int").alias("at"))
+    return each.where(
+        (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")) & (F.col("of") >= shortest)
+    ).select(F.xxhash64("of", "i", F.substring("line", F.col("at"), F.col("size"))).alias("sig"),
+             "id", ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
+
+
+def letters(a: Column, b: Column) -> Column:
+    """A struct (rows, cols): the characters of the shorter and the longer text."""
+    swap = F.char_length(a) > F.char_length(b)
+    return F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("rows"),
+                    F.split(F.when(swap, a).otherwise(b), "").alias("cols"))
+
+
+def plausible(a: Column, b: Column, edits: int = EDITS, parts: int = 8) -> Column:
+    """Whether two lines may be within `edits` edits: of `parts` pieces of the shorter one, all but
+    `edits` must stand in the other, moved by no more than that. Cheap, and never wrong in saying
+    no; lines that merely share a segment fail it."""
+    swap = F.char_length(a) > F.char_length(b)
+    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    m, found = F.char_length(short), F.lit(0)
+    for k in range(parts):
+        at = F.floor(m * k / parts).cast("int")
+        size = F.floor(m * (k + 1) / parts).cast("int") - at
+        around = F.substring(long, F.greatest(F.lit(1), at + 1 - edits), size + 2 * edits)
+        found = found + F.contains(around, F.substring(short, at + 1, size)).cast("int")
+    return found >= parts - edits
+
+
+def within(rows: Column, cols: Column, edits: int = EDITS) -> Column:
+    """Whether two arrays of characters, each longer than `edits` and the first no longer than the
+    second, are within `edits` edits. Both should be columns that are there already: the steps
+    look into them again and again.
 
     Column j of the distance matrix is two words of 2 * edits + 2 bits, for vertical steps up and
     down in the rows around the diagonal; a column's words follow from the last one's by a fixed
@@ -62,21 +87,21 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """
     width = 2 * edits + 2
     top, full = width - 1, (1 << width) - 1
-    swap = F.char_length(a) > F.char_length(b)
-    rows = F.split(F.when(swap, b).otherwise(a), "")
-    cols = F.split(F.when(swap, a).otherwise(b), "")
     m, n = F.size(rows), F.size(cols)
 
     def long(x: Column) -> Column:
         return x.cast("long")
 
-    def step(s: Column, j: Column) -> Column:  # j from 1
-        char = F.get(cols, j - 1)
+    def matches(char: Column, j: Column) -> Column:
         same = F.lit(0).cast("long")
         for bit in range(width):
             hit = F.get(rows, j + (edits - top + bit - 1)) == char
             same = same.bitwiseOR(F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-        # `put` names intermediate words once, so that none is worked out twice.
+        return same
+
+    def step(s: Column, j: Column) -> Column:  # j from 1
+        same = _put(F.get(cols, j - 1), lambda char: matches(char, j))
+        # `_put` names intermediate words once, so that none is worked out twice.
         return _put(same, lambda x: _put(
             (x.bitwiseAND(s["up"]) + s["up"]).bitwiseXOR(s["up"]).bitwiseOR(x)
             .bitwiseOR(s["down"]).bitwiseAND(F.lit(full).cast("long")),
@@ -122,8 +147,7 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
 def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(a, b): ids of different lines (id, line) within `edits` edits, each pair once."""
-    sigs = lines.select("id", F.explode(entries(F.col("line"), edits, shortest)).alias("e")).where(
-        "e is not null").select("id", "e.sig", "e.own")
+    sigs = entries(lines, edits, shortest)
     # Only signatures under which different lines meet go on.
     w = Window.partitionBy("sig")
     met = sigs.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).where(
@@ -138,10 +162,12 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
     texts = materialize(lines.select("id", "line").join(ids, "id", "left_semi").distinct(), "texts")
     of_a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     of_b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    return (
-        pairs.join(of_a, "a").join(of_b, "b")
-        .where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b").distinct()
-    )
+    both = pairs.join(of_a, "a").join(of_b, "b").where(
+        plausible(F.col("line_a"), F.col("line_b"), edits))
+    # What comes out of explode() isn't worked out again inside the steps.
+    both = both.select("a", "b", F.explode(
+        F.array(letters(F.col("line_a"), F.col("line_b")))).alias("x"))
+    return both.where(within(F.col("x.rows"), F.col("x.cols"), edits)).select("a", "b").distinct()
 
 
 def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
