@@ -7,7 +7,7 @@ under 24 characters are never touched: two edits say little about them, and pros
 A line is cut into three segments; two edits leave at least one of them as it was. Each line is
 indexed under (its length, segment number, segment), and looks up, for its own length and up to
 two less, the substrings that can be such a segment: only starts that leave few enough edits on
-either side. Lines that meet are compared by a bit-parallel edit distance kept to the band of
+either side. Lines that meet, and whose counts of common characters allow for it, are compared by a bit-parallel edit distance kept to the band of
 diagonals within two of the main one.
 
 Lines pass as 64-bit hashes until two have met. NULL texts have no lines; the text of a document
@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tabulith.llm.common import connected, materialize, table
 
 EDITS, SHORTEST = 2, 24
+#: Characters whose counts are compared before texts are.
+COMMON = " etaoinsrhldcumfpg.,0123456789"
+#: Ids of lines (8 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST = 500_000
 
 
 def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -53,11 +57,58 @@ def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
              "id", ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
-def letters(a: Column, b: Column) -> Column:
-    """A struct (rows, cols): the characters of the shorter and the longer text."""
-    swap = F.char_length(a) > F.char_length(b)
-    return F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("rows"),
-                    F.split(F.when(swap, a).otherwise(b), "").alias("cols"))
+def _common(a: Column, b: Column, most: Column, end: bool) -> Column:
+    """How many characters, `most` at most, two texts have in common at the start (or end): found
+    bit by bit, from the highest."""
+    def part(x: Column, n: Column) -> Column:
+        return F.right(x, n) if end else F.left(x, n)
+
+    def longer(n: Column, bit: Column) -> Column:
+        more = n + bit
+        return F.when((more <= most) & (part(a, more) == part(b, more)), more).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(30))]), F.lit(0), longer)
+
+
+def letters(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """To rows with line_a and line_b: `x`, a struct (rows, cols) of the characters of the shorter
+    and the longer line, without what they have in common at either end but for a few characters.
+    That leaves the distance as it is."""
+    swap = F.char_length("line_a") > F.char_length("line_b")
+    pairs = pairs.withColumns({
+        "short": F.when(swap, F.col("line_b")).otherwise(F.col("line_a")),
+        "long": F.when(swap, F.col("line_a")).otherwise(F.col("line_b"))})
+
+    def fix(df: DataFrame, **columns: Column) -> DataFrame:
+        # What comes out of explode() isn't worked out again wherever it is used.
+        rest = [c for c in df.columns if c not in columns]
+        struct = F.struct(*[v.alias(k) for k, v in columns.items()])
+        return df.select(*rest, F.explode(F.array(struct)).alias("__s")).select(*rest, "__s.*")
+
+    few = F.lit(edits + 1)
+    pairs = fix(pairs, start=_common(F.col("short"), F.col("long"), F.char_length("short"), False))
+    rest = F.char_length("short") - F.col("start")
+    pairs = fix(pairs, end=_common(F.col("short"), F.col("long"), rest, True))
+    start = F.greatest(F.lit(0), F.col("start") - few)
+    end = F.greatest(F.lit(0), F.col("end") - few)
+
+    def middle(c: str) -> Column:
+        return F.split(F.substring(F.col(c), start + 1, F.char_length(c) - start - end), "")
+
+    return fix(pairs, x=F.struct(middle("short").alias("rows"), middle("long").alias("cols"))).drop(
+        "short", "long", "start", "end")
+
+
+def spectrum(line: Column) -> Column:
+    """How often common characters occur. An edit changes two of the counts by one at most."""
+    n = F.char_length(line)
+    return F.array(*[n - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in COMMON])
+
+
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two spectra allow for lines within `edits` edits."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return F.aggregate(apart, F.lit(0), lambda s, x: s + x) <= 2 * edits
 
 
 def plausible(a: Column, b: Column, edits: int = EDITS, parts: int = 8) -> Column:
@@ -153,20 +204,24 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
     met = sigs.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).where(
         "low <> high").select("sig", "id", "own").distinct()
     met = materialize(met, "met")
-    a, b = met.where("own").alias("a"), met.alias("b")
+    ids = met.select("id").distinct()
+    if ids.count() <= BROADCAST:
+        ids = F.broadcast(ids)
+    texts = materialize(
+        lines.select("id", "line").join(ids, "id", "left_semi").distinct()
+        .withColumn("spectrum", spectrum(F.col("line"))), "texts")
+    spectra = met.join(texts.select("id", "spectrum"), "id")
+    a, b = spectra.where("own").alias("a"), spectra.alias("b")
     pairs = materialize(
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") != F.col("b.id")))
+        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") != F.col("b.id"))
+               & alike(F.col("a.spectrum"), F.col("b.spectrum"), edits))
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
         .distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(lines.select("id", "line").join(ids, "id", "left_semi").distinct(), "texts")
     of_a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     of_b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(of_a, "a").join(of_b, "b").where(
         plausible(F.col("line_a"), F.col("line_b"), edits))
-    # What comes out of explode() isn't worked out again inside the steps.
-    both = both.select("a", "b", F.explode(
-        F.array(letters(F.col("line_a"), F.col("line_b")))).alias("x"))
+    both = letters(both.select("a", "b", "line_a", "line_b"), edits)
     return both.where(within(F.col("x.rows"), F.col("x.cols"), edits)).select("a", "b").distinct()
 
 
@@ -201,14 +256,15 @@ def clean(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     return both.select(
         *[F.when(F.col("__g").isNull(), docs["text"]).otherwise(text).alias("text")
           if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__lines"),
+        (F.char_length(docs["text"]) - F.char_length(F.replace(docs["text"], F.lit("\n"), F.lit("")))
+         + 1).cast("long").alias("__lines"),
         F.when(F.col("__g").isNull(), 0).otherwise(F.size("__g")).cast("long").alias("__gone"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: lines, lines lost, and a digest of the text that stays."""
     return clean(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("__lines")).alias("n_lines"),
+        "doc_id", F.coalesce("__lines", F.lit(0)).cast("long").alias("n_lines"),
         F.col("__gone").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
