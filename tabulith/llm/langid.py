@@ -4,7 +4,7 @@ Subwords are the character 1- to 4-grams of lower-cased runs of letters with a m
 hashed into 2^15 buckets. A text's vector is the mean of its subwords' embeddings, over the whole
 text; a linear softmax gives a probability per language. Embeddings and softmax are trained
 together by stochastic gradient descent in numpy, on at most `MAX_TRAIN` labelled rows (those with
-the smallest hash of their text); every fifth of these only serves calibration: a temperature by
+the smallest hashes of their texts, copies once); every fifth of these only serves calibration: a temperature by
 likelihood, and the confidence under which a text is rejected, which all but one in a thousand of
 the rightly recognised rows exceed. For prediction, embedding and softmax are multiplied into one
 table of logits by bucket, which gives the same values.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulith.llm.common import table
 
-BUCKETS, DIM, SIZES, MAX_TRAIN = 1 << 15, 16, (1, 2, 3, 4), 4000
+BUCKETS, DIM, SIZES, MAX_TRAIN = 1 << 15, 16, (1, 2, 3, 4), 3000
 MARK = np.uint32(1)
 
 _letters: np.ndarray | None = None
@@ -89,26 +89,32 @@ class Model:
 
 
 def labelled(docs: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, buckets, shares) of at most `most` rows (text, lang): what passes through the
-    driver is bounded by that times the number of buckets, whatever the texts' lengths."""
-    chosen = (docs.select("text", "lang").where("text is not null and lang is not null")
-              .withColumn("h", F.xxhash64("text")).select("h", "lang", "text")
-              .orderBy("h", "lang").limit(most))
+    """(label, buckets, shares) of at most `most` different rows (text, lang), those with the
+    smallest hashes: what passes through the driver is bounded by that times the number of
+    buckets, packed, whatever the texts' lengths. Texts don't move but for the chosen ones."""
+    rows = docs.select("text", "lang").where("text is not null and lang is not null").withColumn(
+        "h", F.xxhash64("text"))
+    hashes = rows.select("h", "lang").distinct().orderBy("h", "lang").limit(most)
+    last = hashes.agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = rows.where(F.col("h") <= last).dropDuplicates(["h", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, share = [], []
             for text in b.column("text").to_pylist():
                 u, n = np.unique(subwords(text), return_counts=True)
-                at.append(u)
-                share.append(n / max(n.sum(), 1))
+                at.append(u.astype("<i4").tobytes())
+                share.append((n / max(n.sum(), 1)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("h"), b.column("lang"), pa.array(at, pa.list_(pa.int64())),
-                 pa.array(share, pa.list_(pa.float64()))], ["h", "lang", "at", "share"])
+                [b.column("h"), b.column("lang"), pa.array(at, pa.binary()),
+                 pa.array(share, pa.binary())], ["h", "lang", "at", "share"])
 
-    rows = chosen.mapInArrow(count, "h long, lang string, at array<long>, share array<double>")
-    got = sorted((r for r in rows.collect() if r["at"]), key=lambda r: (r.h, r.lang))
-    return [(r.lang, np.array(r["at"]), np.array(r.share)) for r in got]
+    got = chosen.select("h", "lang", "text").mapInArrow(
+        count, "h long, lang string, at binary, share binary").collect()
+    return [(r.lang, np.frombuffer(r["at"], "<i4"), np.frombuffer(r.share, "<f4"))
+            for r in sorted(got, key=lambda r: (r.h, r.lang))[:most] if r["at"]]
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], turns: int = 6, rate: float = 8.0) -> Model:
