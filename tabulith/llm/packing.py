@@ -40,7 +40,7 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Marks the name of the first unit of a text.
 FIRST = "\0"
 #: Units whose ids a worker remembers; others are encoded each time they come.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 #: Units that the library is given at a time.
 LINES = 4096
 
