@@ -13,7 +13,7 @@ distribution sums to 1. Where nothing would be left (all counts above 5), 1 is a
 divisor. If the counts of counts give no usable factors (small corpora), absolute discounting
 takes their place, with n1 / (n1 + 2 n2).
 
-Work. Texts are tokenised once, into blocks of about two million tokens with codes of their own.
+Work. Texts are tokenised once, into blocks of 1.5 million tokens with codes of their own.
 A block asks the table of words, dealt by hash, for the ids and counts of its distinct words; then
 the table of pairs, dealt by first word, for the counts of its distinct pairs and what backoff
 needs. Pairs of a first word with more than a bucket's fair share are dealt by both words. So
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulith.llm.common import materialize, table
 
-TOKENS, TOP = 2_000_000, 5
+TOKENS, TOP = 1_500_000, 5
 U64 = np.dtype("<u8")
 
 
