@@ -144,7 +144,7 @@ def with_successors(docs: DataFrame, chars: int = 1 << 24, most: int = 10_000) -
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(min(most, max(spark.sparkContext.defaultParallelism, size // chars)))
     bounds = rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     rows = rows.withColumns({"as_double": F.col("doc_id").cast("double"), "h": F.xxhash64("text")})
     rows = (
         Bucketizer(splits=splits, inputCol="as_double", outputCol="piece", handleInvalid="keep")
