@@ -100,14 +100,20 @@ ORACLES["project_columns"] = with_("fx_sales") + "SELECT row_index, amount, stat
 
 
 def positions(df, *columns):
-    """Number the rows of an ordered result by collecting its order into a column."""
     return df.select("row_index", *columns)
 
 
-QUERIES["sort_rows"] = lambda s, sf: positions(
-    paging.sort_rows(sales(s, sf), "amount", "desc").limit(100), F.col("amount.normalized").alias("amount"))
+def placed(df, *columns):
+    """The rows of an ordered result with their places from 0."""
+    rows = df.select("row_index", *columns)
+    at = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return df.sparkSession.createDataFrame(at, rows.schema.add("place", "long"))
+
+
+QUERIES["sort_rows"] = lambda s, sf: placed(
+    paging.sort_rows(sales(s, sf), "amount", "desc"), F.col("amount.normalized").alias("amount"))
 ORACLES["sort_rows"] = SALES_WITH + (
-    f"SELECT row_index, amount FROM cells ORDER BY {NUM} DESC NULLS LAST, row_index LIMIT 100")
+    f"SELECT row_index, amount, row_number() OVER (ORDER BY {NUM} DESC NULLS LAST, row_index) - 1 AS place FROM cells")
 QUERIES["paginate"] = lambda s, sf: positions(
     paging.paginate(sales(s, sf), "order_date", "asc", limit=30, offset=20,
                     conditions=[one("status", "=", "F")]),
@@ -147,18 +153,18 @@ def mixed(s, sf):
 
 
 PLAIN = r"CASE WHEN regexp_matches(trim(v), '^[-+]?[0-9]*\.?[0-9]+$') THEN TRY_CAST(trim(v) AS DOUBLE) END"
-QUERIES["slice_sort"] = lambda s, sf: positions(
-    paging.slice_sort(mixed(s, sf), "v", "desc").limit(3000), F.col("v.normalized").alias("v"))
+QUERIES["slice_sort"] = lambda s, sf: placed(
+    paging.slice_sort(mixed(s, sf), "v", "desc"), F.col("v.normalized").alias("v"))
 ORACLES["slice_sort"] = with_("fx_mixed") + (
-    f"SELECT row_index, v FROM fx_mixed ORDER BY {PLAIN} DESC NULLS FIRST, v DESC NULLS FIRST, row_index LIMIT 3000")
+    f"SELECT row_index, v, row_number() OVER (ORDER BY {PLAIN} DESC NULLS FIRST, v DESC NULLS FIRST, row_index) - 1 AS place FROM fx_mixed")
 QUERIES["table_slice"] = lambda s, sf: paging.table_slice(
     people(s, sf), 10, 40, "balance", "asc", "build").select(
         "row_index", F.col("balance.normalized").alias("balance"), "row_count")
 ORACLES["table_slice"] = PEOPLE_WITH + """SELECT row_index, balance, (SELECT count(*) FROM cells WHERE segment = 'building') AS row_count
  FROM cells WHERE segment = 'building' ORDER BY CAST(balance AS DOUBLE), balance, row_index LIMIT 40 OFFSET 10"""
-QUERIES["adaptive_sort"] = lambda s, sf: paging.adaptive_sort(
-    fixture(s, sf, "fx_sales"), "order_date", "desc").select("row_index", "order_date").limit(200)
+QUERIES["adaptive_sort"] = lambda s, sf: placed(
+    paging.adaptive_sort(fixture(s, sf, "fx_sales"), "order_date", "desc"), "order_date")
 # Half the values read as numbers and half as dates, so neither reaches its share: text.
 ORACLES["adaptive_sort"] = with_("fx_sales") + (
-    "SELECT row_index, order_date FROM fx_sales ORDER BY coalesce(trim(order_date), '') = '', "
-    "lower(trim(order_date)) DESC NULLS LAST, row_index LIMIT 200")
+    "SELECT row_index, order_date, row_number() OVER (ORDER BY coalesce(trim(order_date), '') = '', "
+    "lower(trim(order_date)) DESC NULLS LAST, row_index) - 1 AS place FROM fx_sales")

@@ -44,14 +44,14 @@ _part = lambda i: f"TRY_CAST(nullif(regexp_extract({R.strip('{c}')}, {R.PAIR}, {
 _iso, _pair = (x.replace("{", "{{").replace("}", "}}") for x in (R.ISO, R.PAIR))
 _stripped = R.strip("{c}")
 _like = (f"(SELECT {_part(1)} AS a, {_part(2)} AS b FROM fx_sales WHERE regexp_matches({_stripped}, {_iso}) "
-         f"OR regexp_matches({_stripped}, {_pair}) ORDER BY row_index LIMIT 500)")
+         f"OR regexp_matches({_stripped}, {_pair}))")
 
 
-def _votes(columns, votes: dict[str, str], rows: int, priority: list[str], source: str, out: str,
+def _votes(columns, votes: dict[str, str], priority: list[str], source: str, out: str,
            empty: str | None) -> str:
     """Winner of counted votes per column; later names win ties."""
     counts = ", ".join(f"coalesce(sum({v}), 0) AS n_{t}" for t, v in votes.items())
-    union = per_column(columns, counts, f"(SELECT * FROM {source} WHERE row_index < {rows})")
+    union = per_column(columns, counts, source)
     pairs = ", ".join(f"{{'n': n_{t}, 'p': {i}, 't': '{t}'}}" for i, t in enumerate(priority))
     winner = f"(list_reverse_sort([{pairs}])[1]).t"
     if empty:
@@ -90,7 +90,7 @@ def _sort_sql() -> str:
             f"sum(CASE WHEN {num} IS NOT NULL THEN 1 ELSE 0 END) AS nums, "
             f"sum(CASE WHEN {num} IS NULL AND {date} THEN 1 ELSE 0 END) AS days, "
             f"sum(CASE WHEN {date} THEN 1 ELSE 0 END) AS all_days "
-            "FROM fx_sales WHERE row_index < 300"
+            "FROM fx_sales"
         )
     return " UNION ALL ".join(parts)
 
@@ -101,22 +101,22 @@ ORACLES = {
         "CASE WHEN count(*) = 0 THEN NULL WHEN coalesce(bool_or(a > 12), false) AND coalesce(bool_or(b > 12), false) THEN NULL "
         "WHEN coalesce(bool_or(b > 12), false) THEN 'mdy' ELSE 'dmy' END AS date_format", _like),
     "infer_money_columns": with_("fx_sales") + "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", bool_or({R.looks_like_money(c)}) AS is_money FROM fx_sales WHERE row_index < 500"
+        f"SELECT '{c}' AS \"column\", bool_or({R.looks_like_money(c)}) AS is_money FROM fx_sales"
         for c in SALES) + ")",
     "infer_measurement_columns": with_("fx_sales") + "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", coalesce(count(*) FILTER ({R.measure_unit(c)} IS NOT NULL)::DOUBLE "
         f"/ nullif(count(*) FILTER (coalesce({R.strip(c)}, '') <> ''), 0) >= 0.8, false) AS is_measurement "
-        "FROM fx_sales WHERE row_index < 500" for c in SALES) + ")",
+        "FROM fx_sales" for c in SALES) + ")",
     "infer_context_types": with_("fx_sales", cells=R.SALES_CELLS, typed=_TYPED) + _votes(
-        SALES, _TYPE_VOTES, 500, _TYPES, "typed", "inferred_type", "unknown"),
+        SALES, _TYPE_VOTES, _TYPES, "typed", "inferred_type", "unknown"),
     "infer_types_stored": with_("fx_sales", cells=R.SALES_CELLS, typed=_TYPED) + _votes(
-        SALES, _TYPE_VOTES, 200, _TYPES, "typed", "inferred_type", "unknown"),
+        SALES, _TYPE_VOTES, _TYPES, "typed", "inferred_type", "unknown"),
     # A money or measured cell's text is itself a number to the loose rule, hence 3 votes.
     "infer_column_kinds": with_("fx_sales", cells=R.SALES_CELLS, typed=_TYPED) + _votes(
-        SALES, _KIND_VOTES, 200, ["date", "number", "text"], "typed", "kind", None),
+        SALES, _KIND_VOTES, ["date", "number", "text"], "typed", "kind", None),
     "detect_numeric_columns": PEOPLE_WITH + "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count({R.number(c)}) >= greatest(2, floor(count(*) * 0.4)) AS is_numeric "
-        "FROM cells WHERE row_index < 400" for c in PEOPLE) + ")",
+        "FROM cells" for c in PEOPLE) + ")",
     "infer_sort_kind": with_("fx_sales") + "SELECT c AS \"column\", CASE WHEN nums / nullif(filled,0)::DOUBLE >= 0.6 THEN 'number' "
     f"WHEN days / nullif(filled,0)::DOUBLE >= 0.6 THEN 'date' ELSE 'text' END AS sort_kind FROM ({_sort_sql()})",
     "detect_date_columns": with_("fx_sales") + "SELECT c AS \"column\", coalesce(all_days / nullif(filled,0)::DOUBLE >= 0.6, false) AS is_date "

@@ -104,27 +104,13 @@ ROLE_COLUMN_WORDS = {
 TYPE_PRIORITY = ["unknown", "text", "number", "date", "measurement", "money"]
 
 # --- fixed values: sample sizes and limits ---
-MONEY_SAMPLE_ROWS = 500
-MEASUREMENT_SAMPLE_ROWS = 500
 MEASUREMENT_SHARE = 0.8
-DATE_FORMAT_SAMPLES = 500
-TYPE_VOTE_ROWS = 500
-STORED_TYPE_ROWS = 200
-KIND_SAMPLE_ROWS = 200
-NUMERIC_SAMPLE_ROWS = 400
 NUMERIC_SHARE = 0.4
-SORT_SAMPLE_ROWS = 300
 SORT_SHARE = 0.6
-EDIT_SAMPLE_ROWS = 2000
-PAGE_LIMIT = 500
-ROW_INDEX_LIMIT = 1000
-ROWS_BY_INDEX_LIMIT = 100
-TABLE_LIST_LIMIT = 200
 NAME_LENGTH = 64
 DESCRIPTION_LENGTH = 100
 FOLDER_NAME_LENGTH = 255
 TOP_N_LIMIT = 20
-TOP_K_LIMIT = 100
 EMBEDDING_WIDTH = 384
 MAX_FILE_BYTES = 50 * 1024 * 1024
 SNIFF_BYTES = 65536

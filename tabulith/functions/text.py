@@ -131,9 +131,9 @@ def extract_keywords(col: Column) -> Column:
 
 
 def word_tokens(col: Column) -> Column:
-    """Distinct search tokens: letters and digits, 2 to 30 long, lower case."""
+    """Distinct search tokens: letters and digits, 2 or more, lower case."""
     tokens = F.split(F.lower(col), r"[^\p{L}\p{N}\p{M}]+")
-    return F.array_distinct(F.filter(tokens, lambda t: F.length(t).between(2, 30)))
+    return F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 2))
 
 
 def space_tokens(col: Column) -> Column:

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulith import fixed
 from tabulith.functions.dates import date_part_bucket
 from tabulith.functions.numbers import sql_number
 from tabulith.operators.filters import filter_rows, resolve_column
@@ -52,7 +51,7 @@ def aggregate(
     date_part: str | None = None,
     conditions: list[dict] | None = None,
     sort_order: str = "desc",
-    limit: int = 50,
+    limit: int | None = None,
     annotate: bool = False,
 ) -> DataFrame:
     """`metrics` are {agg, column}; the first is `aggregate_value`, and with more than one
@@ -89,9 +88,9 @@ def aggregate(
     if group_by:
         value = F.col("__m0")
         order = value.asc_nulls_last() if sort_order == "asc" else value.desc_nulls_last()
-        grouped = grouped.orderBy(order, F.col("group_value").asc_nulls_last()).limit(
-            max(1, min(limit, fixed.PAGE_LIMIT))
-        )
+        grouped = grouped.orderBy(order, F.col("group_value").asc_nulls_last())
+        if limit is not None:
+            grouped = grouped.limit(max(1, limit))
     return grouped.select(*columns)
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulith import fixed
 from tabulith.functions.text import name_collision_key
 
 ADMIN_ROLES = ["owner", "admin"]
@@ -142,7 +141,7 @@ def list_tables(
     if pinned:
         order.insert(0, F.col("dataset_id").isin(pinned).desc())
     rank = F.row_number().over(Window.partitionBy("access_class").orderBy(*order))
-    keep = max(1, min(limit, fixed.TABLE_LIST_LIMIT))
+    keep = max(1, limit)
     return shown.withColumn("position", rank).where(F.col("position") <= keep)
 
 

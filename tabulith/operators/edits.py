@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulith import fixed
 from tabulith.functions import cells
 from tabulith.operators import inference
 from tabulith.operators.headers import normalize_names
@@ -36,9 +35,9 @@ def apply_cell_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
         F.when(F.col(f"__new_{c}").isNotNull(), F.col(f"__new_{c}")["value"]).otherwise(text(c)).alias(c)
         for c in columns
     ]
-    sample = inference.first_rows(table, fixed.EDIT_SAMPLE_ROWS).join(latest, "row_index", "left")
-    # The sample is small and read by several inferences.
-    sample_text = materialize(sample.select("row_index", *edited_text), "edit-sample")
+    sample = table.join(latest, "row_index", "left")
+    # Read by several inferences.
+    sample_text = materialize(sample.select("row_index", *edited_text), "edited-text")
     hints = inference.infer_hints(sample_text, columns)
     touched = table.join(latest, "row_index").select("row_index", *edited_text)
     untouched = table.join(latest.select("row_index"), "row_index", "left_anti")

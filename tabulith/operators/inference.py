@@ -1,6 +1,6 @@
-"""Type inference: bounded samples, one aggregate over all columns, a verdict row per column.
+"""Type inference: one aggregate over all rows and columns, a verdict row per column.
 
-Row indices are dense from 0, so `row_index < n` is the sample and prunes row groups.
+A caller who wants a verdict from the first rows alone says so with `sample_rows`.
 Verdict tables have one row per column of the schema, so reading one on the driver is bounded.
 """
 
@@ -15,8 +15,8 @@ from tabulith.functions import cells, dates, numbers
 from tabulith.functions.text import NFC_SUSPECT, strip
 
 
-def first_rows(df: DataFrame, n: int) -> DataFrame:
-    return df.where(F.col("row_index") < n)
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else df.where(F.col("row_index") < n)
 
 
 def verdicts(df: DataFrame) -> dict:
@@ -61,44 +61,24 @@ def _not_blank(text: Column) -> Column:
 def scan_columns(df: DataFrame, columns: list[str]) -> dict[str, tuple[str | None, bool]]:
     """{column: (date format, may need NFC)} from one pass over all rows.
 
-    The date format rests on the first 500 date-like values of a column. Whether a day above 12
-    lies among those is decided by counting the date-like values before its first occurrence, so
-    no list of values is ever gathered. Only a first occurrence beyond row 500 takes a second
-    pass, with one number per such column as its result.
+    A first part above 12 in any date-like value says that days come first, a second part above
+    12 that months do; both together say nothing.
     """
-    limit = fixed.DATE_FORMAT_SAMPLES
-    row = F.col("row_index")
     found = _per_column(
         df,
         columns,
         lambda raw: {
             "seen": F.count_if(dates.is_date_layout(raw)),
-            "first": F.min(F.when(dates.first_above_12(raw), row)),
-            "second": F.min(F.when(dates.second_above_12(raw), row)),
+            "day_first": F.coalesce(F.bool_or(dates.first_above_12(raw)), F.lit(False)),
+            "month_first": F.coalesce(F.bool_or(dates.second_above_12(raw)), F.lit(False)),
             "suspect": F.coalesce(F.bool_or(raw.rlike(NFC_SUSPECT)), F.lit(False)),
         },
     ).collect()
-    late = {
-        (r["column"], side): r[side]
-        for r in found
-        for side in ("first", "second")
-        if r[side] is not None and r[side] >= limit and r["seen"] > limit
-    }
-    ranks = {}
-    if late:
-        counts = [
-            F.count_if(dates.is_date_layout(F.col(f"`{c}`")) & (row < at)).alias(f"n{i}")
-            for i, ((c, _), at) in enumerate(late.items())
-        ]
-        ranks = dict(zip(late, df.agg(*counts).first()))
 
     def date_format(r) -> str | None:
-        day_first, month_first = (
-            r[s] is not None and ranks.get((r["column"], s), 0) < limit for s in ("first", "second")
-        )
-        if not r["seen"] or (day_first and month_first):
+        if not r["seen"] or (r["day_first"] and r["month_first"]):
             return None
-        return "mdy" if month_first else "dmy"
+        return "mdy" if r["month_first"] else "dmy"
 
     return {r["column"]: (date_format(r), r["suspect"]) for r in found}
 
@@ -111,16 +91,20 @@ def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def infer_money_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    sample = first_rows(df, fixed.MONEY_SAMPLE_ROWS)
+def infer_money_columns(
+    df: DataFrame, columns: list[str], sample_rows: int | None = None
+) -> DataFrame:
+    sample = first_rows(df, sample_rows)
     stats = _per_column(
         sample, columns, lambda c: {"hits": F.count_if(numbers.looks_like_money(c))}
     )
     return stats.select("column", (F.col("hits") > 0).alias("is_money"))
 
 
-def infer_measurement_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    sample = first_rows(df, fixed.MEASUREMENT_SAMPLE_ROWS)
+def infer_measurement_columns(
+    df: DataFrame, columns: list[str], sample_rows: int | None = None
+) -> DataFrame:
+    sample = first_rows(df, sample_rows)
     stats = _per_column(
         sample,
         columns,
@@ -165,9 +149,11 @@ def _type_votes(sample: DataFrame, columns: list[str], type_of) -> DataFrame:
     )
 
 
-def infer_context_types(df: DataFrame, columns: list[str], **hints) -> DataFrame:
-    """Type vote over the first 500 raw rows. The vote of a value is the type its cell gets."""
-    sample = cells.normalize_row(first_rows(df, fixed.TYPE_VOTE_ROWS), columns, **hints)
+def infer_context_types(
+    df: DataFrame, columns: list[str], sample_rows: int | None = None, **hints
+) -> DataFrame:
+    """Type vote over the raw rows. The vote of a value is the type its cell gets."""
+    sample = cells.normalize_row(first_rows(df, sample_rows), columns, **hints)
     return _type_votes(
         sample,
         columns,
@@ -178,7 +164,9 @@ def infer_context_types(df: DataFrame, columns: list[str], **hints) -> DataFrame
 # ── cell tables ───────────────────────────────────────────────────────────────
 
 
-def infer_types_stored(df: DataFrame, columns: list[str] | None = None, rows: int = 0) -> DataFrame:
+def infer_types_stored(
+    df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None
+) -> DataFrame:
     """Typed records vote first; untyped text is read by the plain rules."""
     columns = columns or cells.value_columns(df)
 
@@ -193,12 +181,14 @@ def infer_types_stored(df: DataFrame, columns: list[str] | None = None, rows: in
             .when(text.isNotNull(), "text")
         )
 
-    sample = first_rows(df, max(rows, fixed.STORED_TYPE_ROWS))
+    sample = first_rows(df, sample_rows)
     typed = sample.select(*[type_of(F.col(f"`{c}`")).alias(c) for c in columns])
     return _type_votes(typed, columns, lambda c: c)
 
 
-def infer_column_kinds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def infer_column_kinds(
+    df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None
+) -> DataFrame:
     """text, number or date per column: a typed cell gives 2 votes, its text 1 more."""
     columns = columns or cells.value_columns(df)
 
@@ -213,14 +203,16 @@ def infer_column_kinds(df: DataFrame, columns: list[str] | None = None) -> DataF
             "text": F.count_if(text.isNotNull() & ~iso & ~number),
         }
 
-    votes = _per_column(first_rows(df, fixed.KIND_SAMPLE_ROWS), columns, stats)
+    votes = _per_column(first_rows(df, sample_rows), columns, stats)
     return votes.select("column", _winner(["date", "number", "text"]).alias("kind"))
 
 
-def detect_numeric_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def detect_numeric_columns(
+    df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None
+) -> DataFrame:
     columns = columns or cells.value_columns(df)
     stats = _per_column(
-        first_rows(df, fixed.NUMERIC_SAMPLE_ROWS),
+        first_rows(df, sample_rows),
         columns,
         lambda c: {
             "hits": F.count_if(cells.numeric_value(c).isNotNull()),
@@ -231,7 +223,7 @@ def detect_numeric_columns(df: DataFrame, columns: list[str] | None = None) -> D
     return stats.select("column", (F.col("hits") >= needed).alias("is_numeric"))
 
 
-def _sort_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+def _sort_stats(df: DataFrame, columns: list[str], sample_rows: int | None = None) -> DataFrame:
     def stats(text: Column) -> dict[str, Column]:
         date = dates.sort_date(text).isNotNull()
         number = numbers.sort_number(text).isNotNull()
@@ -242,7 +234,7 @@ def _sort_stats(df: DataFrame, columns: list[str]) -> DataFrame:
             "all_dates": F.count_if(date),
         }
 
-    return _per_column(first_rows(df, fixed.SORT_SAMPLE_ROWS), columns, stats)
+    return _per_column(first_rows(df, sample_rows), columns, stats)
 
 
 def _share(name: str) -> Column:
@@ -252,7 +244,7 @@ def _share(name: str) -> Column:
 
 
 def infer_sort_kind(df: DataFrame, columns: list[str]) -> DataFrame:
-    """How to sort plain text columns: 60 % of the filled sample decides."""
+    """How to sort plain text columns: 60 % of the filled cells decide."""
     kind = F.when(_share("numbers"), "number").when(_share("dates"), "date").otherwise("text")
     return _sort_stats(df, columns).select("column", kind.alias("sort_kind"))
 

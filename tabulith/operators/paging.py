@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulith import fixed
 from tabulith.functions import dates
 from tabulith.functions.numbers import sort_number, sql_number
 from tabulith.operators import inference
@@ -49,14 +48,14 @@ def paginate(
     page = (
         sort_rows(matched, sort_by, sort_order, sort_as)
         .offset(max(0, offset))
-        .limit(max(1, min(limit, fixed.PAGE_LIMIT)))
+        .limit(max(1, limit))
     )
     return page.withColumn("row_count", total)
 
 
 def filter_row_indices(df: DataFrame, conditions: list[dict] | None, max_rows: int = 100) -> DataFrame:
     """First matching row indices, with the total and whether some were left out."""
-    keep = max(1, min(int(max_rows), fixed.ROW_INDEX_LIMIT))
+    keep = max(1, int(max_rows))
     matched = filter_rows(df, conditions).select("row_index")
     total = matched.agg(F.count(F.lit(1)).alias("n")).scalar()
     page = matched.orderBy("row_index").limit(keep)
@@ -67,8 +66,8 @@ def filter_row_indices(df: DataFrame, conditions: list[dict] | None, max_rows: i
 
 def rows_by_indices(df: DataFrame, indices: list[int]) -> DataFrame:
     """Rows in the requested order, repeats kept; `position` is the place in the request."""
-    if not indices or len(indices) > fixed.ROWS_BY_INDEX_LIMIT or min(indices) < 0:
-        raise ValueError(f"1 to {fixed.ROWS_BY_INDEX_LIMIT} non-negative row indices expected")
+    if not indices or min(indices) < 0:
+        raise ValueError("non-negative row indices expected")
     # The literal list also reaches the scan as an IN filter.
     hits = df.where(F.col("row_index").isin(sorted(set(indices))))
     found = {r[0] for r in hits.select("row_index").collect()}

@@ -348,7 +348,7 @@ def rank_groups_with_source(
         stats.select("group_value", result.alias("metric_value"),
                      F.coalesce(source, "first_row").alias("source_row_index"), "first_row")
         .orderBy(order, "first_row")
-        .limit(max(1, min(top_n, fixed.TOP_N_LIMIT)))
+        .limit(max(1, top_n))
         .drop("first_row")
     )
 

@@ -208,7 +208,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, mode: str) -> DataFr
             _score(q, best, batch, mode)
         return _emit(q, best)
 
-    hits = _per_block(vectors.select(*keep), queries.select(*ask), work, _HITS)
+    hits = _per_block(vectors.where("embedding is not null").select(*keep), queries.select(*ask), work, _HITS)
     order = Window.partitionBy("query_id").orderBy(
         F.col("matched").desc(), F.col("score").desc(), "row_index"
     )
@@ -216,7 +216,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, mode: str) -> DataFr
 
 
 def _check_k(k: int) -> int:
-    return max(1, min(int(k), fixed.TOP_K_LIMIT))
+    return max(1, int(k))
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulith import fixed
 from tabulith.functions import cells
 from tabulith.operators import inference
-from tabulith.session import materialize
 from tabulith.sources import cellstore, delimited
 
 
@@ -18,16 +16,15 @@ def text_columns(df: DataFrame) -> list[str]:
 def to_cells(df: DataFrame) -> DataFrame:
     """Raw rows with `row_index` to cells, each column's kind noted in the schema.
 
-    Three passes over the rows: one to fetch the first rows, from which types are inferred, one
-    for the date formats (and whether any text needs NFC), and the parse itself, which is lazy.
+    Every row has a say in the types and kinds, so the rows are read for the hints, for the kinds
+    of the parsed cells, and for the parse itself, which is lazy.
     """
     columns = text_columns(df)
-    sample = materialize(inference.first_rows(df, fixed.TYPE_VOTE_ROWS), "first-rows")
-    hints = inference.infer_hints(df, columns, sample)
+    hints = inference.infer_hints(df, columns)
     out = cells.normalize_row(df, columns, **hints)
     metadata = {f.name: f.metadata for f in df.schema.fields}
     named = out.select(*[F.col(f"`{c}`").alias(c, metadata=metadata[c]) for c in out.columns])
-    return cellstore.with_kinds(named, cells.normalize_row(sample, columns, **hints))
+    return cellstore.with_kinds(named, out)
 
 
 def ingest(

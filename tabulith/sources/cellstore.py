@@ -49,7 +49,7 @@ def build_table_profile(df: DataFrame, sample_rows: int = 3) -> DataFrame:
     """One row per column: position, names, inferred type, values of the first rows."""
     columns = cells.value_columns(df)
     originals = {f.name: f.metadata.get("original_name", f.name) for f in df.schema.fields}
-    types = inference.infer_types_stored(df, columns, sample_rows)
+    types = inference.infer_types_stored(df, columns)
     first = df.where(F.col("row_index") < sample_rows)
     samples = first.select(
         "row_index",
