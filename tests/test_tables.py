@@ -106,14 +106,15 @@ def test_type_vote(spark):
     assert t.schema["sale_date"].metadata["kind"] == "date"
 
 
-def test_date_formats_look_at_500_values(spark):
-    """A day above 12 counts only among the first 500 date-like values of its column."""
+def test_date_formats_look_at_all_values(spark):
+    """A day above 12 counts wherever it stands in its column."""
     def column(late):
         rows = [(i, "01/02/2024" if i != late else "03/25/2024", "x" if i < 700 else "04/30/2024") for i in range(1200)]
         df = spark.createDataFrame(rows, "row_index bigint, d string, e string").repartition(4)
         return inference.verdicts(inference.infer_date_formats(df, ["d", "e"]))
     assert column(499) == {"d": "mdy", "e": "mdy"}
-    assert column(500) == {"d": "dmy", "e": "mdy"}
+    assert column(1199) == {"d": "mdy", "e": "mdy"}
+    assert column(None) == {"d": "dmy", "e": "mdy"}
 
 
 def test_files(spark, tmp_path):
