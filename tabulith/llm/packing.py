@@ -39,7 +39,8 @@ BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Marks the name of the first unit of a text.
 FIRST = "\0"
-#: Units whose ids a worker remembers; others are encoded each time they come.
+#: Units whose ids a worker remembers (about 200 bytes each, kept while the worker lives); others
+#: are encoded each time they come.
 REMEMBERED = 400_000
 #: Units that the library is given at a time.
 LINES = 4096
@@ -58,6 +59,7 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {}
+        self.most = REMEMBERED
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
 
@@ -111,7 +113,7 @@ class Encoder:
         for units in split:
             new.update(set(units).difference(known))
         fresh = self._encode(list(new))
-        if len(known) < REMEMBERED:
+        if len(known) < self.most:
             known.update((u, i) for u, i in fresh.items() if len(u) <= 64)
         return [_join(units, known, fresh) for units in split]
 
@@ -143,7 +145,7 @@ def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
-           with_ids: bool = True) -> DataFrame:
+           with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids: the pieces of each document (doc_id,
     text), closing id included; `ids` is NULL unless asked for. `path` is a vocabulary file of
     the tokenizers library."""
@@ -153,6 +155,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
+        encoder.most = remembered
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         types = [pa.int64()] * 5
 
@@ -222,15 +225,16 @@ def sequences(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return got.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(0), padding)).alias("ids"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
+         remembered: int = REMEMBERED) -> DataFrame:
     """Where every piece of every document lies; ids themselves can be had again by `pieces`."""
-    rows = materialize(pieces(docs, capacity, path, with_ids=False).drop("ids"), "pieces")
+    rows = materialize(pieces(docs, capacity, path, with_ids=False, remembered=remembered).drop("ids"), "pieces")
     return place(rows, capacity)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents")).select(
+    return pack(table(spark, sf_dir, "documents"), remembered=1_200_000).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
