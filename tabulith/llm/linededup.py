@@ -7,17 +7,17 @@ under 24 characters are never touched: two edits say little about them, and pros
 A line is cut into three segments; two edits leave at least one of them as it was. Each line is
 indexed under (its length, segment number, segment), and looks up, for its own length and up to
 two less, the substrings that can be such a segment: only starts that leave few enough edits on
-either side. Lines that meet, and whose counts of common characters allow for it, are compared by a bit-parallel edit distance kept to the band of
-diagonals within two of the main one.
+either side. Lines that meet, and whose counts of common characters allow for it, are compared by
+a bit-parallel edit distance kept to the band of diagonals within two of the main one.
 
-Lines pass as 64-bit hashes until two have met. NULL texts have no lines; the text of a document
+Different lines are stored once; they pass as 64-bit hashes until two have met. NULL texts have no lines; the text of a document
 that loses nothing stays as it is. Repeated rows (equal id and text) are one document, so they
 keep the same lines. Empty tables give no rows. `clean` keeps extra columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulith.llm.common import connected, materialize, table
 
@@ -197,19 +197,22 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
 
 def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(a, b): ids of different lines (id, line) within `edits` edits, each pair once."""
-    sigs = entries(lines, edits, shortest)
-    # Only signatures under which different lines meet go on.
-    w = Window.partitionBy("sig")
-    met = sigs.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).where(
-        "low <> high").select("sig", "id", "own").distinct()
-    met = materialize(met, "met")
+    """(a, b): ids of different lines (id, line) within `edits` edits, each pair once.
+
+    Copies go first, combined before the shuffle: a line that stands in a third of all documents
+    has its signatures once. What meets under a signature is found by a partial minimum and
+    maximum, so no task holds all lines of a signature.
+    """
+    unique = materialize(lines.select("id", "line").distinct(), "unique")
+    sigs = entries(unique, edits, shortest)
+    shared = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
+        "low <> high").select("sig")
+    met = materialize(sigs.join(shared, "sig", "left_semi").distinct(), "met")
     ids = met.select("id").distinct()
     if ids.count() <= BROADCAST:
         ids = F.broadcast(ids)
     texts = materialize(
-        lines.select("id", "line").join(ids, "id", "left_semi").distinct()
-        .withColumn("spectrum", spectrum(F.col("line"))), "texts")
+        unique.join(ids, "id", "left_semi").withColumn("spectrum", spectrum(F.col("line"))), "texts")
     spectra = met.join(texts.select("id", "spectrum"), "id")
     a, b = spectra.where("own").alias("a"), spectra.alias("b")
     pairs = materialize(
