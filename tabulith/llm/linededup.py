@@ -200,13 +200,12 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
     """(a, b): ids of different lines (id, line) within `edits` edits, each pair once.
 
     Copies go first, combined before the shuffle: a line that stands in a third of all documents
-    has its signatures once. What meets under a signature is found by a partial minimum and
-    maximum, so no task holds all lines of a signature.
+    has its signatures once. What meets under a signature is found by a partial count, so
+    no task holds all lines of a signature.
     """
     unique = materialize(lines.select("id", "line").distinct(), "unique")
     sigs = entries(unique, edits, shortest)
-    shared = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
-        "low <> high").select("sig")
+    shared = sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     met = materialize(sigs.join(shared, "sig", "left_semi").distinct(), "met")
     ids = met.select("id").distinct()
     if ids.count() <= BROADCAST:
