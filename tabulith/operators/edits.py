@@ -62,13 +62,21 @@ def rename_column(table: DataFrame, column: str, new_name: str) -> DataFrame:
 
 
 def refresh_vectors(
-    vectors: DataFrame, changed: DataFrame, embed: Callable | None = None
+    vectors: DataFrame, changed: DataFrame, embed: Callable | None = None, sequence: str | None = None
 ) -> DataFrame:
     """Vectors after the rows of `changed` (row_index, text) took on new texts.
 
-    A changed row replaces its vector; one left without text loses it.
+    A changed row replaces its vector; one left without text loses it. Of several changes to a row
+    the one with the highest `sequence` counts (without that column: the greatest text).
     """
     keys = [k for k in ("dataset_id", "row_index") if k in changed.columns]
-    kept = vectors.join(small_side(changed.select(*keys).distinct()), keys, "left_anti")
+    changed = latest_changes(changed, keys, sequence)
+    kept = vectors.join(small_side(changed.select(*keys)), keys, "left_anti")
     added = embed_rows(changed, embed)
     return kept.select(vectors.columns).unionByName(added.select(vectors.columns))
+
+
+def latest_changes(changed: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
+    """One row (keys, text) per key: that with the highest `sequence`, then the greatest text."""
+    order = F.struct(*([sequence] if sequence else []), "text")
+    return changed.groupBy(*keys).agg(F.max(order).alias("last")).select(*keys, "last.text")

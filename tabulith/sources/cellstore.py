@@ -11,8 +11,14 @@ from tabulith.operators import inference
 def write_cells(df: DataFrame, path: str, dataset_id: int) -> None:
     """Replace one dataset, leaving the others: all of its rows become visible together.
 
-    Rows keep their order within files, so that the row-group ranges of row_index stay narrow.
+    Rows keep their order within files, so that the row-group ranges of row_index stay narrow. A
+    table without rows leaves a file with its schema: a dynamic overwrite replaces only partitions
+    that it writes rows to.
     """
+    if df.isEmpty():
+        empty = df.sparkSession.createDataFrame([], df.drop("dataset_id").schema)
+        empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/dataset_id={dataset_id}")
+        return
     (
         df.withColumn("dataset_id", F.lit(dataset_id).cast("bigint"))
         .sortWithinPartitions("row_index")

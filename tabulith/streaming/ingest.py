@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabulith.functions import cells
+from tabulith.operators.edits import latest_changes
 from tabulith.operators.vectors import embed_rows
 
 
@@ -48,18 +49,24 @@ def index_stream(
     target: str,
     checkpoint: str,
     embed: Callable[[list[str]], object] | None = None,
+    sequence: str | None = None,
 ) -> StreamingQuery:
     """Rows (dataset_id, row_index, text) appended as Parquet to their vectors.
 
-    Each batch writes a partition of its own, so a batch run twice after a failure replaces
+    Of several changes to a row in a batch the one with the highest `sequence` counts (without
+    that column: the greatest text). A row left without text is stored with a NULL embedding,
+    which hides its older vectors. Each batch writes a partition of its own, so a batch run twice after a failure replaces
     itself. Reading takes the latest batch of a row: see `latest_vectors`.
     """
     rows = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        embed_rows(batch.dropDuplicates(["dataset_id", "row_index"]), embed).select(
-            "dataset_id", "row_index", "text", "embedding"
-        ).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        changed = latest_changes(batch, ["dataset_id", "row_index"], sequence)
+        columns = ["dataset_id", "row_index", "text", "embedding"]
+        filled = embed_rows(changed, embed).select(*columns)
+        blank = changed.where(F.coalesce("text", F.lit("")) == "").withColumn(
+            "embedding", F.lit(None).cast(filled.schema["embedding"].dataType))
+        filled.unionByName(blank.select(*columns)).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
         rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -68,8 +75,8 @@ def index_stream(
 
 
 def latest_vectors(spark: SparkSession, target: str) -> DataFrame:
-    """One vector per row: that of the latest batch."""
+    """One vector per row: that of the latest batch; none for a row that it left without text."""
     stored = spark.read.parquet(target)
     return stored.groupBy("dataset_id", "row_index").agg(
         F.max_by(F.struct("text", "embedding"), "batch_id").alias("v")
-    ).select("dataset_id", "row_index", "v.*")
+    ).select("dataset_id", "row_index", "v.*").where("embedding is not null")

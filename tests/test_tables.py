@@ -10,6 +10,7 @@ from tabulith.operators import (
 )
 from tabulith.plans import ingest, query
 from tabulith.sources import cellstore, delimited
+from tabulith.streaming.ingest import index_stream, latest_vectors
 
 
 def table(spark, columns, rows):
@@ -264,3 +265,25 @@ def test_search_any_cell(products):
     assert indices(filters.search_any_cell(products, " UT")) == [1, 4]
     assert indices(filters.search_any_cell(products, "%")) == []
     assert cells.value_columns(products) == ["product", "revenue", "region", "date"]
+
+
+def test_empty_table_replaces_rows(spark, products, tmp_path):
+    cellstore.write_cells(products, str(tmp_path), 1)
+    cellstore.write_cells(products.where("row_index < 0"), str(tmp_path), 1)
+    back = cellstore.read_cells(spark, str(tmp_path), 1)
+    assert back.count() == 0 and back.columns == products.columns
+
+
+def test_rows_changed_twice_and_blanked(spark, tmp_path):
+    schema = "dataset_id bigint, row_index bigint, text string, seq int"
+    first = spark.createDataFrame([(1, 0, "z", 1), (1, 0, "a", 2), (1, 1, "b", 1), (1, 2, "c", 1)], schema)
+    later = spark.createDataFrame([(1, 1, "d", 1), (1, 1, None, 2)], schema)
+    stored = vectors.embed_rows(first.where("seq = 1").drop("seq"))
+    refreshed = edits.refresh_vectors(stored, first.union(later).where("row_index < 2"), sequence="seq")
+    assert sorted((r.row_index, r.text) for r in refreshed.collect()) == [(0, "a"), (2, "c")]
+    for rows in (first, later):
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        index_stream(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state",
+                     sequence="seq").awaitTermination()
+    left = latest_vectors(spark, f"{tmp_path}/out").collect()
+    assert sorted((r.row_index, r.text) for r in left) == [(0, "a"), (2, "c")]
