@@ -201,9 +201,11 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
 
     Copies go first, combined before the shuffle: a line that stands in a third of all documents
     has its signatures once. What meets under a signature is found by a partial count, so
-    no task holds all lines of a signature.
+    no task holds all lines of a signature. Stored lines are numbered on the way: numbers of
+    neighbours differ in their last bytes only, so they shuffle in less room than hashes.
     """
-    unique = materialize(lines.select("id", "line").distinct(), "unique")
+    unique = materialize(lines.select(F.col("id").alias("hash"), "line").distinct()
+                         .withColumn("id", F.monotonically_increasing_id()), "unique")
     sigs = entries(unique, edits, shortest)
     shared = sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     met = materialize(sigs.join(shared, "sig", "left_semi").distinct(), "met")
@@ -219,12 +221,13 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
                & alike(F.col("a.spectrum"), F.col("b.spectrum"), edits))
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
         .distinct(), "pairs")
-    of_a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    of_b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+    of_a = texts.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("line").alias("line_a"))
+    of_b = texts.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("line").alias("line_b"))
     both = pairs.join(of_a, "a").join(of_b, "b").where(
         plausible(F.col("line_a"), F.col("line_b"), edits))
-    both = letters(both.select("a", "b", "line_a", "line_b"), edits)
-    return both.where(within(F.col("x.rows"), F.col("x.cols"), edits)).select("a", "b").distinct()
+    both = letters(both.select("hash_a", "hash_b", "line_a", "line_b"), edits)
+    return both.where(within(F.col("x.rows"), F.col("x.cols"), edits)).select(
+        F.least("hash_a", "hash_b").alias("a"), F.greatest("hash_a", "hash_b").alias("b")).distinct()
 
 
 def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
