@@ -54,7 +54,7 @@ def to_nfkc(col: Column) -> Column:
 # ── names ─────────────────────────────────────────────────────────────────────
 
 
-def normalize_header(col: Column, unicode_form: bool = False) -> Column:
+def normalize_header(col: Column, unicode_form: bool = True) -> Column:
     """Header text to snake_case; `unicode_form` folds compatibility characters first."""
     c = to_nfkc(col) if unicode_form else col
     c = collapse_spaces(F.coalesce(c, F.lit("")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tabulith.functions import cells
+from tabulith.functions.text import normalize_header
 from tabulith.operators import inference
-from tabulith.operators.headers import normalize_names
 from tabulith.operators.vectors import embed_rows
 from tabulith.session import materialize, small_side
 
@@ -51,7 +51,9 @@ def rename_column(table: DataFrame, column: str, new_name: str) -> DataFrame:
     columns = cells.value_columns(table)
     if column not in columns:
         raise ValueError(f"unknown column {column!r}")
-    name = normalize_names([new_name.strip()])[0]
+    name = table.sparkSession.range(1).select(normalize_header(F.lit(new_name))).first()[0]
+    if not name:
+        raise ValueError(f"no name for column {column!r}")
     if name != column and name in columns:
         raise ValueError(f"column {name!r} already exists")
     metadata = {**table.schema[column].metadata, "original_name": new_name.strip()}

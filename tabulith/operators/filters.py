@@ -6,7 +6,9 @@ Every predicate follows SQL three-valued logic: NULL satisfies none of them but
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,11 +24,6 @@ ALIASES = {
 }
 
 
-def normalize_operator(name: str) -> str:
-    token = " ".join(name.replace("_", " ").split()).upper()
-    return ALIASES.get(token, token)
-
-
 # ── column names ──────────────────────────────────────────────────────────────
 
 
@@ -40,20 +37,18 @@ def original_names(df: DataFrame) -> dict[str, str]:
 
 
 def resolve_column(df: DataFrame, name: str) -> str:
-    """Exact name, else the only case-insensitive match, else the only original header."""
-    names = original_names(df)
+    """The one column that fits best: by its name, else its name or then its header in any case."""
     wanted = str(name).strip()
-    if wanted in names:
-        return wanted
-    folded = wanted.casefold()
-    by_name = [c for c in names if c.casefold() == folded]
-    if len(by_name) > 1:
-        raise ValueError(f"ambiguous column {name!r}: {', '.join(by_name)}")
-    by_header = [c for c, o in names.items() if o.strip().casefold() == folded]
-    match = by_name or (by_header if len(by_header) == 1 else [])
-    if not match:
-        raise ValueError(f"unknown column {name!r}")
-    return match[0]
+    fits: dict[int, list[str]] = {}
+    for column, header in original_names(df).items():
+        same = [column == wanted, column.casefold() == wanted.casefold(),
+                header.strip().casefold() == wanted.casefold()]
+        if any(same):
+            fits.setdefault(same.index(True), []).append(column)
+    best = fits[min(fits)] if fits else []
+    if len(best) != 1:
+        raise ValueError(f"{name!r} fits {', '.join(best) or 'no column'}")
+    return best[0]
 
 
 def resolve_columns(requests: DataFrame, columns: DataFrame) -> DataFrame:
@@ -105,16 +100,44 @@ def column_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
 # ── predicates ────────────────────────────────────────────────────────────────
 
 
-def _text(column: str) -> Column:
-    return F.col(f"`{column}`.normalized")
-
-
-def _bound(value: str) -> Column:
+def _number(value: str) -> Column:
     digits = re.sub(r"[^0-9.\-]", "", value)
     try:
         return F.lit(float(digits))
     except ValueError:
-        raise ValueError(f"not a number: {value!r}") from None
+        raise ValueError(f"{value!r} is not a number") from None
+
+
+# What a condition's value stands for: the arguments of its test. Dates are ISO text.
+
+
+def _none(value: str | None, kind: str) -> list:
+    return []
+
+
+def _one(value: str, kind: str) -> list:
+    return [value]
+
+
+def _ordered(value: str, kind: str) -> list:
+    return [value if kind == "date" else _number(value)]
+
+
+def _bounds(value: str, kind: str) -> list:
+    low, _, high = value.partition("," if "," in value else "AND")
+    if not (low.strip() and high.strip()):
+        raise ValueError("two bounds are needed, like '3,6' or '3 AND 6'")
+    return [*_ordered(low.strip(), kind), *_ordered(high.strip(), kind)]
+
+
+def _listed(value: str, kind: str) -> list:
+    found = [v.strip() for v in value.split(",") if v.strip()]
+    if not found:
+        raise ValueError("an empty list of values")
+    return [found]
+
+
+# Tests of a cell: of its text, or of what is ordered by (a number unless the kind is date).
 
 
 def _like(text: Column, pattern: str) -> Column:
@@ -122,67 +145,61 @@ def _like(text: Column, pattern: str) -> Column:
     return text.like(re.sub(r"\\(?![%_\\])", r"\\\\", pattern))
 
 
-def _compare(left: Column, operator: str, right: Column) -> Column:
-    return {
-        "=": lambda: left == right,
-        "!=": lambda: left != right,
-        ">": lambda: left > right,
-        ">=": lambda: left >= right,
-        "<": lambda: left < right,
-        "<=": lambda: left <= right,
-    }[operator]()
-
-
-def predicate(column: str, operator: str, value: str | None = None, kind: str = "text") -> Column:
-    """One condition. `kind` date compares ISO text; any other kind compares numbers."""
-    text = _text(column)
-    if operator == "IS NULL":
-        return text.isNull()
-    if operator == "IS NOT NULL":
-        return text.isNotNull()
-    if value is None or (operator in ("IN", "BETWEEN") and not value):
-        raise ValueError(f"operator {operator} on {column} needs a value")
-    if operator == "IN":
-        values = [v.strip() for v in value.split(",") if v.strip()]
-        if not values:
-            raise ValueError(f"operator IN on {column} needs a value")
-        return text.isin(values)
-    if operator == "BETWEEN":
-        parts = [v.strip() for v in value.split("," if "," in value else "AND", 1)]
-        if len(parts) != 2 or not all(parts):
-            raise ValueError(f"BETWEEN on {column} needs two bounds, as in '3,6' or '3 AND 6'")
-        if kind == "date":
-            return text.between(*parts)
-        return sql_number(text).between(*map(_bound, parts))
-    if operator in ("CONTAINS", "NOT CONTAINS"):
-        found = _like(F.lower(text), f"%{value.lower()}%")
-        return ~found if operator.startswith("NOT") else found
-    if operator in ("LIKE", "NOT LIKE"):
-        found = _like(text, value)
-        return ~found if operator.startswith("NOT") else found
-    if operator in (">", ">=", "<", "<=") and kind != "date":
-        return _compare(sql_number(text), operator, _bound(value))
-    if operator in ("=", "!=", ">", ">=", "<", "<="):
-        return _compare(text, operator, F.lit(value))
-    raise ValueError(f"unknown operator {operator!r}")
+def _holds(text: Column, part: str) -> Column:
+    return _like(F.lower(text), f"%{part.lower()}%")
+
+
+class Test(NamedTuple):
+    arguments: Callable[[str, str], list]
+    holds: Callable[..., Column]
+    orders: bool = False
+
+
+TESTS = {
+    "=": Test(_one, Column.__eq__),
+    "!=": Test(_one, Column.__ne__),
+    ">": Test(_ordered, Column.__gt__, orders=True),
+    ">=": Test(_ordered, Column.__ge__, orders=True),
+    "<": Test(_ordered, Column.__lt__, orders=True),
+    "<=": Test(_ordered, Column.__le__, orders=True),
+    "BETWEEN": Test(_bounds, Column.between, orders=True),
+    "IN": Test(_listed, Column.isin),
+    "LIKE": Test(_one, _like),
+    "NOT LIKE": Test(_one, lambda text, pattern: ~_like(text, pattern)),
+    "CONTAINS": Test(_one, _holds),
+    "NOT CONTAINS": Test(_one, lambda text, part: ~_holds(text, part)),
+    "IS NULL": Test(_none, Column.isNull),
+    "IS NOT NULL": Test(_none, Column.isNotNull),
+}
+
+
+def find_test(operator: str) -> Test:
+    """The test behind any spelling of an operator."""
+    spelling = re.sub(r"[\s_]+", " ", operator).strip().upper()
+    test = TESTS.get(ALIASES.get(spelling, spelling))
+    if test is None:
+        raise ValueError(f"{operator!r} is none of {', '.join(TESTS)}")
+    return test
+
+
+def predicate(column: str, test: Test, value: str | None = None, kind: str = "text") -> Column:
+    """One condition on a column of cells. `kind` is that of the column, wanted where a test orders."""
+    if value is None and test.arguments is not _none:
+        raise ValueError(f"a value for {column} is missing")
+    text = F.col(f"`{column}`.normalized")
+    tested = sql_number(text) if test.orders and kind != "date" else text
+    return test.holds(tested, *test.arguments(value, kind))
 
 
 def bool_chain(df: DataFrame, conditions: list[dict]) -> Column:
     """Conditions folded from the left, AND and OR alike: ((a OR b) AND c)."""
-    items = []
-    for c in conditions:
-        items.append(
-            (
-                resolve_column(df, c["column"]),
-                normalize_operator(c["operator"]),
-                c.get("value"),
-                str(c.get("logical_operator") or "AND").strip().upper(),
-            )
-        )
-    kinds = column_kinds(
-        df, [c for c, op, _, _ in items if op in (">", ">=", "<", "<=", "BETWEEN")]
-    )
-    terms = [(predicate(c, op, v, kinds.get(c, "text")), joiner) for c, op, v, joiner in items]
+    items = [
+        (resolve_column(df, c["column"]), find_test(c["operator"]), c.get("value"),
+         str(c.get("logical_operator") or "AND").strip().upper())
+        for c in conditions
+    ]
+    kinds = column_kinds(df, [c for c, test, _, _ in items if test.orders])
+    terms = [(predicate(c, test, v, kinds.get(c, "text")), joiner) for c, test, v, joiner in items]
     return reduce(
         lambda left, term: left | term[0] if term[1] == "OR" else left & term[0],
         terms[1:],

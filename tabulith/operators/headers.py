@@ -78,7 +78,7 @@ def _append(base: Column, number: Column) -> Column:
     return F.concat(base, F.lit("_"), number)
 
 
-def dedupe_headers(df: DataFrame, file: str = "file_id", unicode_form: bool = False) -> DataFrame:
+def dedupe_headers(df: DataFrame, file: str = "file_id", unicode_form: bool = True) -> DataFrame:
     """(file, column_index, header) to a unique `normalized_name` per column of a file."""
     base = F.nullif(normalize_header(F.col("header"), unicode_form), F.lit(""))
     blank = F.concat(F.lit("col_"), (F.col("column_index") + 1).cast("string"))
@@ -110,26 +110,3 @@ def claim_folder_names(df: DataFrame, scope: str, id_: str, name: str) -> DataFr
 
     out = _unique_names(counted, [scope], "__base", spell, key=F.lower)
     return out.select(id_, scope, F.col("__name").alias("unique_name"))
-
-
-def normalize_names(names: list[str]) -> list[str]:
-    """The same rule for the few header names of one schema, without a job."""
-    import re
-    import unicodedata
-
-    used: set[str] = set()
-    out = []
-    bases = []
-    for i, raw in enumerate(names):
-        s = " ".join(unicodedata.normalize("NFKC", raw or "").split())
-        s = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", s)
-        s = re.sub(r"([a-z\d])([A-Z])", r"\1_\2", s).lower()
-        bases.append(re.sub(r"_+", "_", re.sub(r"\W+", "_", s)).strip("_") or f"col_{i + 1}")
-    taken = set(bases)
-    for base in bases:
-        name, n = base, 2
-        while name in used or (name != base and name in taken):
-            name, n = f"{base}_{n}", n + 1
-        used.add(name)
-        out.append(name)
-    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabulith import fixed
 from tabulith.functions import dates, numbers
-from tabulith.operators.headers import normalize_names
+from tabulith.operators.headers import dedupe_headers
 from tabulith.session import materialize, small_side
 
 
@@ -154,7 +154,10 @@ def read_delimited(
         f"col_{i + 1}" for i in range(len(peek.columns))
     ]
     originals[0] = originals[0].lstrip("﻿")
-    names = normalize_names(originals)
+    asked = spark.createDataFrame([(0, i, o) for i, o in enumerate(originals)],
+                                  "file_id int, column_index int, header string")
+    # One record of the file: a row per column.
+    names = [r[0] for r in dedupe_headers(asked).orderBy("column_index").select("normalized_name").collect()]
     schema = ", ".join(f"`{n}` string" for n in names)
     table = reader.schema(schema).option("header", bool(has_header)).csv(path)
     return table.select(
@@ -169,14 +172,15 @@ def assign_row_index(df: DataFrame) -> DataFrame:
     """Dense 0-based `row_index` in file order for a DataFrame read straight from files.
 
     Rows are counted per file split; each split starts where the ones before it end, and a row
-    adds its place within the split. Only the split counts meet in one place.
+    adds its place within the split. Only the split counts meet in one place. The rows are stored
+    once with their split: later scans may split the files otherwise, which must not renumber them.
     """
-    located = df.select(
+    located = materialize(df.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
-    )
+    ), "raw-rows")
     splits = located.groupBy("__file", "__block").agg(
         F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
