@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["sharding", "syncmers", "secrets", "urlfilter", "packing", "langid",
-           "decontamination", "simhash", "linededup", "katz"]
+           "decontamination", "simhash", "linededup", "katz", "lexical", "periodic", "oddsketch"]
 
 
 def _gather(name: str) -> dict:
