@@ -241,16 +241,20 @@ def test_components_against_the_definition(spark, odd, none):
     assert oddsketch.components(none).count() == 0
 
 
-def test_sketches_estimate_high_similarities():
+def test_sketches_tell_high_similarities_apart():
     rng = np.random.default_rng(5)
-    for share in (0.95, 0.85):
-        off = []
-        for _ in range(60):
-            n = 600
-            same = rng.integers(0, 1 << 63, int(2 * n * share / (1 + share)), np.uint64)
-            a, b = (oddsketch.sketch(oddsketch.samples(np.concatenate(
-                [same, rng.integers(0, 1 << 63, n - len(same), np.uint64)]))) for _ in (0, 1))
-            off.append(int(np.bitwise_count(a ^ b).sum()))
-        expected = oddsketch.farthest(share)
-        assert abs(np.mean(off) - expected) < 4
-        assert max(off) < oddsketch.farthest(oddsketch.MAYBE)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    for n in (20, 200, 1000, 6000):
+        told = {}
+        for share in (0.70, 0.86, 0.95):
+            told[share] = 0
+            for _ in range(60):
+                same = draw(math.ceil(2 * n * share / (1 + share)))
+                a, b = (np.unique(np.concatenate([same, draw(n - len(same))])) for _ in (0, 1))
+                x, y = oddsketch.firsts(a), oddsketch.firsts(b)
+                differ = np.bitwise_count(oddsketch.sketch(x) ^ oddsketch.sketch(y)).sum()
+                _, fits = oddsketch.likeness(np.array([len(a)]), len(b), np.array([len(x)]), len(y),
+                                             np.array([differ]), 0.85, oddsketch.SIGMAS)
+                told[share] += bool(fits[0])
+        assert told[0.95] == 60 and told[0.86] == 60, (n, told)
+        assert n < 1000 or told[0.70] == 0, (n, told)
