@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabulith.session import materialize
 
-__all__ = ["connected", "lower_ascii", "materialize", "narrowed", "numbered", "table", "word_pieces"]
+__all__ = ["connected", "free", "lower_ascii", "materialize", "narrowed", "numbered", "table", "word_pieces"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have, whatever the case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -51,10 +59,7 @@ def narrowed(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     at = place(F.col(keys.columns[0]))
     bitmap = keys.groupBy(F.floor(at / 32768).cast("int").alias("piece")).agg(
         F.bitmap_construct_agg((at % 32768)).alias("bitmap"))
-    free = "__narrowed"
-    while any(c.lower().startswith(free) for c in df.columns):
-        free += "_"
-    piece, bitmap_name, here = f"{free}p", f"{free}b", f"{free}h"
+    piece, bitmap_name, here = free(df, "piece"), free(df, "bitmap"), free(df, "place")
     bitmap = bitmap.select(F.col("piece").alias(piece), F.col("bitmap").alias(bitmap_name))
     marked = df.withColumn(here, place(key))
     marked = marked.join(F.broadcast(bitmap), F.floor(F.col(here) / 32768).cast("int") == F.col(piece))

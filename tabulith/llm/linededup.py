@@ -19,18 +19,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabulith.llm.common import connected, materialize, table
+from tabulith.llm.common import connected, free, materialize, narrowed, table
 
 EDITS, SHORTEST = 2, 24
-#: Characters whose counts are compared before texts are.
-COMMON = " etaoinsrhldcumfpg.,0123456789"
-#: Ids of lines (8 bytes each) that are broadcast at most; more are joined by shuffle.
-BROADCAST = 500_000
+#: Characters whose counts, packed into one number, are compared before texts are.
+COMMON = "eatoins "
 
 
-def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(sig, id, own) of each line (id, line): own ones are indexed and looked up, the others
-    looked up only.
+def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, own: bool = False) -> DataFrame:
+    """(sig, id, …) of each line (id, line, …): what a line is looked up under, or with `own` only
+    what it is indexed under, which is part of the former.
 
     A line of n characters has edits + 1 segments of n // (edits + 1) characters, the last ones
     one longer. Looked up is, for a line `less` characters shorter and its segment i, each start
@@ -41,20 +39,21 @@ def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
         (less, i, shift)
         for less in range(parts) for i in range(parts)
         for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+        if not own or (less == 0 and shift == 0)
     ]
+    rest = [c for c in lines.columns if c not in ("id", "line")]
     tried = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift"))
                       for a, b, c in tries])
-    each = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(tried).alias("t"))
-    each = each.select("id", "line", "n", (F.col("n") - F.col("t.less")).alias("of"), "t.*")
-    base, rest = F.expr(f"of div {parts}"), F.col("of") % parts
-    size = base + (rest >= parts - F.col("i")).cast("int")
-    start = 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") + rest - parts)
-    each = each.select("id", "line", "n", "of", "i", "less", "shift", size.cast("int").alias("size"),
+    each = lines.select("id", "line", *rest, F.char_length("line").alias("n"), F.explode(tried).alias("t"))
+    each = each.select("id", "line", *rest, "n", (F.col("n") - F.col("t.less")).alias("of"), "t.i", "t.shift")
+    base, more = F.expr(f"of div {parts}"), F.col("of") % parts
+    size = base + (more >= parts - F.col("i")).cast("int")
+    start = 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") + more - parts)
+    each = each.select("id", "line", *rest, "n", "of", "i", size.cast("int").alias("size"),
                        (start + F.col("shift")).cast("int").alias("at"))
     return each.where(
         (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")) & (F.col("of") >= shortest)
-    ).select(F.xxhash64("of", "i", F.substring("line", F.col("at"), F.col("size"))).alias("sig"),
-             "id", ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
+    ).select(F.xxhash64("of", "i", F.substring("line", F.col("at"), F.col("size"))).alias("sig"), "id", *rest)
 
 
 def _common(a: Column, b: Column, most: Column, end: bool) -> Column:
@@ -100,15 +99,20 @@ def letters(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def spectrum(line: Column) -> Column:
-    """How often common characters occur. An edit changes two of the counts by one at most."""
-    n = F.char_length(line)
-    return F.array(*[n - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in COMMON])
+    """How often common characters occur, 127 times at most, a byte each. An edit changes two of
+    the counts by one at most."""
+    n, packed = F.char_length(line), F.lit(0).cast("long")
+    for i, c in enumerate(COMMON):
+        count = F.least(F.lit(127), n - F.char_length(F.replace(line, F.lit(c), F.lit(""))))
+        packed = packed.bitwiseOR(F.shiftleft(count.cast("long"), 8 * i))
+    return packed
 
 
 def alike(a: Column, b: Column, edits: int) -> Column:
     """Whether two spectra allow for lines within `edits` edits."""
-    apart = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    return F.aggregate(apart, F.lit(0), lambda s, x: s + x) <= 2 * edits
+    lane = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(127).cast("long"))
+    apart = [F.abs(lane(a, i) - lane(b, i)) for i in range(len(COMMON))]
+    return sum(apart[1:], apart[0]) <= 2 * edits
 
 
 def plausible(a: Column, b: Column, edits: int = EDITS, parts: int = 8) -> Column:
@@ -200,27 +204,24 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
     """(a, b): ids of different lines (id, line) within `edits` edits, each pair once.
 
     Copies go first, combined before the shuffle: a line that stands in a third of all documents
-    has its signatures once. What meets under a signature is found by a partial count, so
-    no task holds all lines of a signature. Stored lines are numbered on the way: numbers of
-    neighbours differ in their last bytes only, so they shuffle in less room than hashes.
+    has its signatures once. Signatures are worked out once for each side of one join, whose
+    condition compares spectra, so that few pairs come out; texts are looked up for those only.
+    Stored lines are numbered on the way: numbers of neighbours differ in their last bytes only,
+    so they shuffle in less room than hashes.
     """
-    unique = materialize(lines.select(F.col("id").alias("hash"), "line").distinct()
-                         .withColumn("id", F.monotonically_increasing_id()), "unique")
-    sigs = entries(unique, edits, shortest)
-    shared = sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    met = materialize(sigs.join(shared, "sig", "left_semi").distinct(), "met")
-    ids = met.select("id").distinct()
-    if ids.count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    texts = materialize(
-        unique.join(ids, "id", "left_semi").withColumn("spectrum", spectrum(F.col("line"))), "texts")
-    spectra = met.join(texts.select("id", "spectrum"), "id")
-    a, b = spectra.where("own").alias("a"), spectra.alias("b")
+    unique = materialize(
+        lines.select(F.col("id").alias("hash"), "line").distinct()
+        .withColumn("id", F.monotonically_increasing_id()).withColumn("bag", spectrum(F.col("line"))), "unique")
+    known = unique.select("id", "line", "bag")
+    a, b = entries(known, edits, shortest, own=True).alias("a"), entries(known, edits, shortest).alias("b")
     pairs = materialize(
         a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") != F.col("b.id"))
-               & alike(F.col("a.spectrum"), F.col("b.spectrum"), edits))
+               & alike(F.col("a.bag"), F.col("b.bag"), edits))
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
         .distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = narrowed(unique.select("id", "hash", "line"), F.col("id"), ids)
+    texts = materialize(texts.join(ids, "id", "left_semi"), "texts")
     of_a = texts.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("line").alias("line_a"))
     of_b = texts.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("line").alias("line_b"))
     both = pairs.join(of_a, "a").join(of_b, "b").where(
@@ -233,8 +234,9 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
 def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, th, gone: the places of each document's lines that repeat an earlier one."""
     lines = lines_of(docs, shortest)
+    places = materialize(lines.select("doc_id", "th", "no", "id"), "places")
     roots = connected(links(lines, edits, shortest), "lines")
-    firsts = lines.groupBy("id").agg(
+    firsts = places.groupBy("id").agg(
         F.min(F.struct("doc_id", "th", "no")).alias("first"), F.count("*").alias("n"))
     of = firsts.join(roots, F.col("id") == F.col("node"), "left").where(
         "n > 1 or node is not null").select("id", "first", F.coalesce("root", "id").alias("root"))
@@ -242,7 +244,7 @@ def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
     kept = of.groupBy("root").agg(F.min("first").alias("kept"))
     of = of.join(kept, "root").select("id", "kept")
     return (
-        lines.select("id", "doc_id", "th", "no").join(of, "id")
+        places.join(of, "id")
         .where(~F.struct("doc_id", "th", "no").eqNullSafe(F.col("kept")))
         .groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone"))
     )
@@ -250,20 +252,23 @@ def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
 
 def clean(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """All rows and columns of `docs` (doc_id, text, …), repeated lines taken out of `text`; adds
-    `__lines` and `__gone`, the numbers of lines before and lost."""
+    `__lines` and `__gone`, the numbers of lines before and lost, in place of columns of such names."""
+    docs = docs.drop("__lines", "__gone")
+    d, x, g = free(docs, "d"), free(docs, "x"), free(docs, "g")
     gone = repeated(docs, edits, shortest).select(
-        F.col("doc_id").alias("__d"), F.col("th").alias("__x"), F.col("gone").alias("__g"))
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d"))
-                     & (F.xxhash64(docs["text"]) == F.col("__x")), "left")
+        F.col("doc_id").alias(d), F.col("th").alias(x), F.col("gone").alias(g))
+    # The smaller side is hashed: sorting would move every text once more.
+    both = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(d))
+                     & (F.xxhash64(docs["text"]) == F.col(x)), "left")
     parts = F.split(docs["text"], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__g"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g))
     text = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     return both.select(
-        *[F.when(F.col("__g").isNull(), docs["text"]).otherwise(text).alias("text")
+        *[F.when(F.col(g).isNull(), docs["text"]).otherwise(text).alias("text")
           if c == "text" else docs[c] for c in docs.columns],
         (F.char_length(docs["text"]) - F.char_length(F.replace(docs["text"], F.lit("\n"), F.lit("")))
          + 1).cast("long").alias("__lines"),
-        F.when(F.col("__g").isNull(), 0).otherwise(F.size("__g")).cast("long").alias("__gone"))
+        F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long").alias("__gone"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
