@@ -13,7 +13,8 @@ words have no window; items with equal ids count once. Empty tables are fine on
 Extra columns are not carried.
 
 Shuffled are the kept hashes (about two for every seven words; Spark leaves that out where the
-items' side is under its broadcast limit), then only what belongs to matching documents. A
+items' side is under its broadcast limit), then only what belongs to matching documents, which a
+bitmap of their hashes picks out in the scan. A
 document's hits are gathered per document, which its length bounds.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabulith.llm.common import lower_ascii, materialize, table
+from tabulith.llm.common import free, lower_ascii, materialize, narrowed, table
 
 WINDOW, K = 10, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,9 +102,10 @@ def find(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataF
             F.collect_set(F.when(F.col("pos") > 0, F.col("kept"))).alias("kept")),
         "winnowed")
 
-    some = rows.where(F.size("kept") > 0).select(
-        F.col("doc_id").alias("d"), F.col("th").alias("x"), "kept")
-    again = d.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("x")))
+    some = materialize(rows.where(F.size("kept") > 0).select(
+        F.col("doc_id").alias("d"), F.col("th").alias("x"), "kept"), "matching")
+    # Of the texts, only those of matching documents and a few others move.
+    again = narrowed(d, F.col("th"), some.select("x")).join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("x")))
     again = _hashed(again.select("doc_id", "th", "kept", words(F.col("text")).alias("words")), short)
 
     def at(hashes: str, width: int) -> Column:
@@ -159,9 +161,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` (all columns) in which no window of an item occurs."""
     _, hits, _ = find(docs, items)
-    bad = hits.select(F.col("doc_id").alias("__d"), F.col("th").alias("__x")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d"))
-                     & (F.xxhash64(docs["text"]) == F.col("__x")), "left_anti")
+    d, x = free(docs, "d"), free(docs, "x")
+    bad = hits.select(F.col("doc_id").alias(d), F.col("th").alias(x)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d))
+                     & (F.xxhash64(docs["text"]) == F.col(x)), "left_anti")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
