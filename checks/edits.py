@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import rules as R
-from checks.fixtures import SALES, base, fixture, hints, people, sales, with_
+from checks.fixtures import SALES, base, fixture, people, sales, with_
 from tabulith.functions import cells
 from tabulith.operators import edits, vectors
 from tabulith.session import scratch_folder
@@ -33,15 +33,16 @@ def refreshed(s, sf):
 
 
 def ingested(s, sf):
+    """Ordinary files, without row numbers: three drops, two drains."""
     folder = scratch_folder(s, "drop")
     raw = fixture(s, sf, "fx_sales")
-    for status in ("F", "O", "P"):  # three drops, two drains
-        raw.where(F.trim("status") == status).select(F.col("row_index").alias("key"), *SALES).write.mode("append").option(
-            "header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-        if status != "F":
-            ingest.ingest_stream(s, folder, f"{folder}-cells", f"{folder}-state", SALES,
-                                 hints(s, sf, "fx_sales", SALES), "key").awaitTermination()
-    return cells.flatten_normalized(s.read.parquet(f"{folder}-cells"))
+    for i, status in enumerate(("F", "O", "P")):
+        drop = raw.where(F.trim("status") == status).repartitionByRange(3, "row_index").sortWithinPartitions("row_index")
+        drop.select(*SALES).write.option("header", True).option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/drop={i}")
+        if i:
+            ingest.ingest_stream(s, folder, f"{folder}-cells", f"{folder}-state").awaitTermination()
+    return cells.flatten_normalized(ingest.stream_cells(s, f"{folder}-cells"))
 
 
 def indexed(s, sf):
@@ -72,6 +73,7 @@ SELECT c.row_index, customer, status, order_date, CASE WHEN a.v IS NOT NULL THEN
  'region: ' || region, 'market_segment: ' || segment, 'balance: ' || balance) AS text FROM cells""",
     "refresh_vectors": """SELECT c_custkey AS row_index, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' || c_name ELSE c_name END AS text, CAST(384 AS BIGINT) AS width
  FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal > 0""",
-    "ingest_stream": SALES_WITH + "SELECT row_index, customer, status, order_date, amount, weight, note FROM cells",
+    "ingest_stream": SALES_WITH + """SELECT row_number() OVER (ORDER BY status, row_index) - 1 AS row_index,
+ customer, status, order_date, amount, weight, note FROM cells""",
     "index_stream": """SELECT CAST(label AS BIGINT) AS dataset_id, vec_id AS row_index, CASE WHEN label < 5 THEN 'new ' ELSE '' END || 'row ' || vec_id AS text, CAST(384 AS BIGINT) AS width FROM embeddings""",
 }

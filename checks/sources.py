@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks import rules as R
 from checks.fixtures import SALES, base, fixture, sales, with_
@@ -26,8 +26,30 @@ def sales_csv(s, sf, header=True, **options):
 
 
 def read_delimited(s, sf):
-    raw = delimited.read_delimited(s, sales_csv(s, sf))
-    return delimited.assign_row_index(raw)
+    return delimited.read_delimited(s, sales_csv(s, sf))
+
+
+def mixed_files(s, sf):
+    """Orders in files with and without a header line, by month of the order; notes with line
+    breaks, commas and quotes in them, and a blank line after each file's first row."""
+    folder = scratch_folder(s, "mixed-csv")
+    orders = base(s, sf, "orders")
+    k = F.col("o_orderkey") % 7
+    note = (F.when(k == 0, F.concat(F.lit('"two\nlines'), k.cast("string"), F.lit('"')))
+            .when(k == 1, F.lit('"a ""b"", c\n\nd"')).when(k == 2, F.lit('5" wide')).otherwise(F.lit("plain")))
+    line = F.concat_ws(",", F.col("o_orderkey"), note, F.col("o_orderstatus"))
+    month = F.date_format("o_orderdate", "MM")
+    first = F.row_number().over(Window.partitionBy("month").orderBy("o_orderkey")) == 1
+    rows = orders.select("o_orderkey", month.alias("month"), line.alias("line")).withColumn("first", first)
+    head = F.when(F.col("first") & (F.col("month") < "07"), F.lit("Key,Order Note,Status\n")).otherwise(F.lit(""))
+    value = F.concat(head, "line", F.when(F.col("first"), F.lit("\n")).otherwise(F.lit("")))
+    (rows.select("month", "o_orderkey", value.alias("value")).repartition(4, "month")
+     .sortWithinPartitions("month", "o_orderkey").select("month", "value").write.partitionBy("month").text(folder))
+    return folder
+
+
+def read_mixed(s, sf):
+    return delimited.read_delimited(s, mixed_files(s, sf)).toDF("row_index", "key", "note", "status")
 
 
 def ingest_files(s, sf):
@@ -85,7 +107,7 @@ def check_files(s, sf):
 
 def infer_header(s, sf):
     found = delimited.infer_header(s, nation_files(s, sf))
-    return by_folder(found).where(F.col("region") < 2).select("region", "nation", "has_header").distinct()
+    return by_folder(found).select("region", "nation", "has_header").distinct()
 
 
 def decode(s, sf):
@@ -107,6 +129,7 @@ def decode(s, sf):
 
 QUERIES = {
     "read_delimited": read_delimited,
+    "read_delimited_mixed": read_mixed,
     "assign_row_index": lambda s, sf: delimited.assign_row_index(
         s.read.parquet(f"{sf}/orders.parquet")).select("row_index", "o_orderkey"),
     "write_cells": written_cells,
@@ -127,6 +150,11 @@ ORACLES = {
     # Empty text comes back from a file as NULL.
     "read_delimited": with_("fx_sales") + """SELECT row_index, customer AS customer_id, status, order_date, amount, weight,
  nullif(note, '') AS note FROM fx_sales""",
+    "read_delimited_mixed": """WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%m') AS m, o_orderstatus AS status,
+  CASE o_orderkey % 7 WHEN 0 THEN 'two' || chr(10) || 'lines0' WHEN 1 THEN 'a "b", c' || chr(10) || chr(10) || 'd' WHEN 2 THEN '5" wide' ELSE 'plain' END AS note FROM orders),
+r AS (SELECT m, k, 0 AS blank, CAST(k AS VARCHAR) AS "key", note, status FROM o
+      UNION ALL SELECT m, min(k), 1, NULL, NULL, NULL FROM o GROUP BY m)
+SELECT row_number() OVER (ORDER BY m, k, blank) - 1 AS row_index, "key", note, status FROM r""",
     "assign_row_index": "SELECT o_orderkey AS row_index, o_orderkey FROM orders",
     "write_cells": SALES_WITH + FLAT,
     "read_cells": SALES_WITH + "SELECT row_index, amount_number AS amount FROM cells WHERE status = 'F'",
@@ -143,6 +171,7 @@ SELECT t."column", t.column_index, t."column" AS original_name, t.inferred_type,
     "check_files": """SELECT DISTINCT n_regionkey AS region, CASE WHEN n_regionkey <> 4 THEN n_nationkey END AS nation,
  CASE n_regionkey WHEN 2 THEN 'binary' WHEN 3 THEN 'not_utf8' WHEN 4 THEN 'extension' END AS reason
  FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "infer_header": """SELECT DISTINCT n_regionkey AS region, n_nationkey AS nation, n_regionkey = 1 AS has_header
- FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 2""",
+    # Files of regions 2 and 3 hold junk in the first cell only; those of region 4 are plain text.
+    "infer_header": """SELECT DISTINCT n_regionkey AS region, CASE WHEN n_regionkey <> 4 THEN n_nationkey END AS nation,
+ n_regionkey = 1 AS has_header FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }

@@ -1,17 +1,21 @@
 """Sorting, paging and row selection.
 
-A sort that feeds a limit becomes one top-k per task and a merge; nothing is sorted whole.
+A sort that feeds a limit becomes one top-k per task and a merge; nothing is sorted whole. A page
+far down is found by counting: see `page_of`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulith.functions import dates
 from tabulith.functions.numbers import sort_number, sql_number
 from tabulith.operators import inference
 from tabulith.operators.filters import (
-    column_kinds, filter_rows, resolve_column, search_any_cell,
+    column_kinds, filter_rows, project_columns, resolve_column, search_any_cell,
 )
 
 
@@ -22,6 +26,86 @@ def _sort_key(df: DataFrame, column: str, sort_as: str) -> Column:
     return sql_number(text) if kind == "number" else text
 
 
+#: A page that ends within so many rows is one top-k; one further down is looked for by counting.
+NEAR, RANGES, SAMPLE = 10_000, 64, 4096
+
+
+class Key(NamedTuple):
+    """One key of an order."""
+
+    value: Column
+    down: bool = False
+    nulls_first: bool = False
+
+    def order(self, name: str) -> Column:
+        c = F.col(name)
+        if self.down:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+
+def _place(key: Key, name: str, bounds: list) -> Column:
+    """The range a row falls in, in the order of the key: between two bounds, on a bound, or NULL."""
+    c = F.col(name)
+    at = sum(((c > b).cast("int") * 2 + (c == b).cast("int") for b in bounds), F.lit(0))
+    at = F.lit(2 * len(bounds)) - at if key.down else at
+    return F.when(c.isNull(), 0 if key.nulls_first else 2 * len(bounds) + 2).otherwise(at + 1)
+
+
+def _parts(rows: DataFrame, keys: list[Key], at: int, n: int, skip: int, limit: int) -> list[DataFrame]:
+    """DataFrames that hold the rows `skip` to `skip + limit` of the `n` rows, whose keys before
+    `at` are all equal."""
+    if not skip and limit >= n:
+        return [rows]
+    ordered = rows.orderBy(*[k.order(f"__key{i}") for i, k in enumerate(keys)]).offset(skip).limit(limit)
+    if skip + limit <= NEAR or at == len(keys):
+        return [ordered]
+    name = f"__key{at}"
+    some = rows.select(name).where(F.col(name).isNotNull()).sample(min(1.0, SAMPLE / n), seed=1)
+    found = sorted({r[0] for r in some.limit(4 * SAMPLE).collect() if r[0] == r[0]})
+    bounds = sorted({found[i * len(found) // RANGES] for i in range(RANGES)}) if found else []
+    place = _place(keys[at], name, bounds)
+    ranges = 2 * len(bounds) + 3
+    counts = rows.agg(*[F.count_if(place == i).alias(f"n{i}") for i in range(ranges)]).first()
+    out, whole, before = [], [], 0
+    for i, count in enumerate(counts):
+        first, last = max(0, skip - before), min(count, skip + limit - before)
+        before += count
+        if first >= last:
+            continue
+        if first == 0 and last == count:
+            whole.append(i)
+            continue
+        inside = rows.where(place == i)
+        # A bound or NULL is one value: the next key goes on.
+        one = i % 2 == 0
+        if not one and not bounds:
+            out.append(ordered)
+            continue
+        out += _parts(inside, keys, at + one, count, first, last - first)
+    if whole:
+        out.append(rows.where(place.between(whole[0], whole[-1])))
+    return out
+
+
+def page_of(df: DataFrame, keys: list[Key], limit: int, offset: int) -> DataFrame:
+    """The rows `offset` to `offset + limit` in the order of `keys`, the last one unique per row.
+
+    A page far down is narrowed down key by key: bounds from a bounded sample cut the key's values
+    into ranges, the ranges are counted in one aggregate, and only those at the ends of the page
+    are looked into further; what lies before it counts by its number alone. So no task holds the
+    rows before a page. The bounds decide how many rounds that takes, not what comes out.
+    """
+    limit, offset = max(1, limit), max(0, offset)
+    names = [f"__key{i}" for i in range(len(keys))]
+    rows = df.withColumns({n: k.value for n, k in zip(names, keys)})
+    order = [k.order(n) for n, k in zip(names, keys)]
+    if offset + limit <= NEAR:
+        return rows.orderBy(*order).offset(offset).limit(limit).drop(*names)
+    found = _parts(rows, keys, 0, rows.count(), offset, limit) or [rows.limit(0)]
+    return reduce(DataFrame.unionByName, found).orderBy(*order).drop(*names)
+
+
 def sort_rows(
     df: DataFrame, sort_by: str | None = None, sort_order: str = "asc", sort_as: str = "auto"
 ) -> DataFrame:
@@ -45,12 +129,10 @@ def paginate(
     """One page of the matching rows; `row_count` on each is the number of all matches."""
     matched = filter_rows(df, conditions)
     total = matched.agg(F.count(F.lit(1)).alias("n")).scalar()
-    page = (
-        sort_rows(matched, sort_by, sort_order, sort_as)
-        .offset(max(0, offset))
-        .limit(max(1, limit))
-    )
-    return page.withColumn("row_count", total)
+    keys = [Key(F.col("row_index"))]
+    if sort_by is not None:
+        keys.insert(0, Key(_sort_key(df, resolve_column(df, sort_by), sort_as), sort_order == "desc"))
+    return page_of(matched, keys, limit, offset).withColumn("row_count", total)
 
 
 def filter_row_indices(df: DataFrame, conditions: list[dict] | None, max_rows: int = 100) -> DataFrame:
@@ -64,26 +146,23 @@ def filter_row_indices(df: DataFrame, conditions: list[dict] | None, max_rows: i
     )
 
 
-def rows_by_indices(df: DataFrame, indices: list[int]) -> DataFrame:
-    """Rows in the requested order, repeats kept; `position` is the place in the request."""
+def rows_by_indices(df: DataFrame, indices: list[int], columns: list[str] | None = None) -> DataFrame:
+    """Rows in the requested order, repeats kept; `position` is the place in the request. With
+    `columns` only those are returned, as original values."""
     if not indices or min(indices) < 0:
         raise ValueError("non-negative row indices expected")
-    # The literal list also reaches the scan as an IN filter.
-    hits = df.where(F.col("row_index").isin(sorted(set(indices))))
-    found = {r[0] for r in hits.select("row_index").collect()}
-    missing = sorted(set(indices) - found)
+    spark = df.sparkSession
+    request = spark.createDataFrame([(i, x) for i, x in enumerate(indices)], "position int, row_index bigint")
+    # The request is the caller's own list, so it may travel to every task.
+    asked = F.broadcast(request)
+    missing = request.join(df.select("row_index").join(asked, "row_index", "left_semi"), "row_index", "left_anti")
+    missing = [r[0] for r in missing.select("row_index").distinct().orderBy("row_index").limit(10).collect()]
     if missing:
-        raise ValueError(f"row index not found: {missing[:10]}")
-    positions = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(x).cast("bigint").alias("wanted"))
-        for i, x in enumerate(indices)
-    ])
-    wanted = F.filter(positions, lambda p: p["wanted"] == F.col("row_index"))
-    return (
-        hits.withColumn("__p", F.explode(wanted))
-        .select(F.col("__p.position").alias("position"), *df.columns)
-        .orderBy("position")
-    )
+        raise ValueError(f"row index not found: {missing}")
+    rows = project_columns(df, columns) if columns else df
+    bounds = F.col("row_index").between(min(indices), max(indices))  # reaches the scan
+    found = rows.where(bounds).join(asked, "row_index")
+    return found.select("position", *rows.columns).orderBy("position")
 
 
 def requested_rows(df: DataFrame, requests: DataFrame) -> DataFrame:
@@ -95,16 +174,22 @@ def requested_rows(df: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def slice_order(column: str, direction: str = "asc") -> list[Column]:
-    """Numeric-looking text as numbers, then text; NULLs last ascending, first descending."""
+def _slice_keys(column: str, direction: str = "asc") -> list[Key]:
     text = F.col(f"`{column}`.normalized")
     plain = F.trim(text)
     number = F.when(plain.rlike(r"^[-+]?[0-9]*\.?[0-9]+$"), plain.try_cast("double"))
-    if direction.lower() in ("desc", "descending"):
-        keys = [number.desc_nulls_first(), text.desc_nulls_first()]
-    else:
-        keys = [number.asc_nulls_last(), text.asc_nulls_last()]
-    return [*keys, F.col("row_index").asc()]
+    down = direction.lower() in ("desc", "descending")
+    return [Key(number, down, down), Key(text, down, down), Key(F.col("row_index"))]
+
+
+def slice_order(column: str, direction: str = "asc") -> list[Column]:
+    """Numeric-looking text as numbers, then text; NULLs last ascending, first descending."""
+    def order(k: Key) -> Column:
+        if k.down:
+            return k.value.desc_nulls_first()
+        return k.value.asc_nulls_last()
+
+    return [order(k) for k in _slice_keys(column, direction)]
 
 
 def slice_sort(df: DataFrame, column: str, direction: str = "asc") -> DataFrame:
@@ -122,12 +207,8 @@ def table_slice(
     """A page of the table, searched and sorted; `row_count` counts the rows searched for."""
     matched = search_any_cell(df, search) if search else df
     total = matched.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ordered = (
-        slice_sort(matched, sort_column, sort_direction)
-        if sort_column
-        else matched.orderBy("row_index")
-    )
-    return ordered.offset(offset).limit(limit).withColumn("row_count", total)
+    keys = _slice_keys(resolve_column(df, sort_column), sort_direction) if sort_column else [Key(F.col("row_index"))]
+    return page_of(matched, keys, limit, offset).withColumn("row_count", total)
 
 
 def adaptive_order(df: DataFrame, column: str, direction: str = "asc") -> list[Column]:

@@ -1,8 +1,9 @@
 """Which dataset a request means.
 
-Names are compared as lower-case word strings. Containment is an equi-join: the shorter side is
-looked up among the substrings of the longer one. Substrings are built from distinct names only
-(at most 64 characters each), or from a question at the lengths names actually have.
+Names are compared as lower-case word strings. Containment goes through an index of short pieces:
+a text that contains a name contains every piece of it, so names and texts meet under the name's
+rarest piece, an equi-join, and only what meets is compared. A piece has three characters, or as
+many as the name if that is shorter.
 """
 
 from __future__ import annotations
@@ -16,16 +17,41 @@ def _file_stem(col: Column) -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), r"\.[^.]*$", "")
 
 
-def _substrings(token: Column) -> Column:
-    """All distinct non-empty substrings."""
-    starts = F.sequence(F.lit(1), F.length(token))
-    every = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(token) - i + 1), lambda n: F.substring(token, i, n)
-        ),
-    )
-    return F.when(F.length(token) > 0, F.array_distinct(F.flatten(every)))
+PIECE = 3
+
+
+def _pieces(token: Column, size: Column | int) -> Column:
+    """The distinct pieces of `size` characters."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.length(token) - size + 1
+    return F.when(last > 0, F.array_distinct(
+        F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(token, i, size))))
+
+
+def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text): which of the distinct `needles` stand in which of the distinct `texts`
+    (their only columns); empty ones in none.
+
+    A text has an entry per distinct piece, a needle is looked up under one piece: the one in the
+    fewest texts. A needle with a piece that no text has is left out before the join.
+    """
+    needles = needles.toDF("needle").where("needle <> ''")
+    texts = texts.toDF("text").where("text <> ''")
+    # Texts are cut to pieces of a size only if a needle is that short: sizes are three at most.
+    size = F.least(F.length("needle"), F.lit(PIECE))
+    sizes = sorted(r[0] for r in needles.select(size.alias("s")).distinct().collect())
+    if not sizes:
+        return needles.select("needle", F.col("needle").alias("text")).limit(0)
+    entries = texts.select("text", F.explode(F.concat(
+        *[F.coalesce(_pieces(F.col("text"), n), F.array().cast("array<string>")) for n in sizes])).alias("piece"))
+    asked = needles.select("needle", F.explode(_pieces(F.col("needle"), size)).alias("piece"))
+    # Counted for pieces that are asked for only.
+    known = entries.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(
+        F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(known, "piece", "left").groupBy("needle").agg(
+        F.min(F.struct("n", "piece")).alias("least"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    keyed = rarest.where("all").select("needle", "least.piece")
+    return entries.join(keyed, "piece").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
 def _named(datasets: DataFrame) -> DataFrame:
@@ -46,13 +72,17 @@ def _pairs(named: DataFrame) -> DataFrame:
     )
 
 
-def _containing(pairs: DataFrame) -> DataFrame:
-    """(needle, name_token, file_token): every substring of either token."""
-    both = F.array_union(
-        F.coalesce(_substrings(F.col("name_token")), F.array().cast("array<string>")),
-        F.coalesce(_substrings(F.col("file_token")), F.array().cast("array<string>")),
-    )
-    return pairs.select("name_token", "file_token", F.explode(both).alias("needle"))
+def _tokens(pairs: DataFrame) -> DataFrame:
+    """The distinct tokens of names and files."""
+    return pairs.select(F.explode(F.array("name_token", "file_token")).alias("token")).where(
+        "token <> ''").distinct()
+
+
+def _of_tokens(found: DataFrame, pairs: DataFrame, kept: str) -> DataFrame:
+    """(kept, name_token, file_token) of the pairs that own a found `token`, each once."""
+    name, file = (pairs.select("name_token", "file_token", F.col(c).alias("token")) for c in ("name_token", "file_token"))
+    owners = name.unionByName(file.where("name_token <> file_token"))
+    return found.join(owners, "token").select(kept, "name_token", "file_token").distinct()
 
 
 def resolve_dataset_strict(requests: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -68,8 +98,9 @@ def resolve_dataset_strict(requests: DataFrame, datasets: DataFrame) -> DataFram
         match_token(cleaned).alias("needle"),
     )
     needles = asked.where("needle <> ''").select("needle").distinct()
+    inside = contained(needles, _tokens(pairs)).withColumnRenamed("text", "token")
     found = (
-        _containing(pairs).join(needles, "needle").join(pairs, ["name_token", "file_token"])
+        _of_tokens(inside, pairs, "needle").join(pairs, ["name_token", "file_token"])
         .withColumn("exact", F.col("needle").isin(F.col("name_token"), F.col("file_token")))
         .groupBy("needle", "exact")
         .agg(F.sum("datasets").alias("n"), F.min("first_id").alias("id"))
@@ -110,35 +141,17 @@ def resolve_dataset(requests: DataFrame, datasets: DataFrame) -> DataFrame:
         match_token(F.col("dataset_name")).alias("wanted"),
         match_token(F.col("question")).alias("said"),
     )
+    tokens = _tokens(pairs)
+    wanted = asked.where("wanted <> ''").select("wanted").distinct()
     by_name = (
-        _containing(pairs)
-        .join(asked.where("wanted <> ''").select("wanted").distinct(), F.col("needle") == F.col("wanted"))
-        .select("wanted", "name_token", "file_token")
+        _of_tokens(contained(wanted, tokens).select(F.col("needle").alias("wanted"), F.col("text").alias("token")), pairs, "wanted")
         .join(asked.select("request_id", "wanted"), "wanted")
         .select("request_id", "name_token", "file_token")
     )
-    tokens = pairs.select(F.explode(F.array("name_token", "file_token")).alias("token")).where(
-        "token <> ''"
-    ).distinct()
-    # Names have at most a few dozen lengths, whatever their number.
-    lengths = tokens.agg(F.array_sort(F.collect_set(F.length("token"))).alias("l")).scalar()
-    said = asked.select("said").distinct().withColumn("__lengths", lengths)
-    pieces = said.select(
-        "said",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.filter("__lengths", lambda n: n <= F.length("said")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("said") - n + 1), lambda i: F.substring("said", i, n)
-            ),
-        )))).alias("token"),
-    )
-    heard = pieces.join(tokens, "token")
+    heard = contained(tokens, asked.select("said").distinct()).select(
+        F.col("needle").alias("token"), F.col("text").alias("said"))
     in_question = (
-        heard.join(pairs.select("name_token", "file_token"), F.col("token") == F.col("name_token"))
-        .select("said", "name_token", "file_token")
-        .unionAll(heard.join(pairs.select("name_token", "file_token"),
-                             F.col("token") == F.col("file_token")).select("said", "name_token", "file_token"))
-        .distinct()
+        _of_tokens(heard, pairs, "said")
         .join(asked.select("request_id", "said"), "said")
         .select("request_id", "name_token", "file_token", F.lit(True).alias("heard"))
     )

@@ -36,7 +36,6 @@ def ingest(
     **read_options,
 ) -> DataFrame:
     """Read delimited files, normalize, write one dataset and return it as stored."""
-    raw = delimited.read_delimited(spark, source, has_header, **read_options)
-    table = to_cells(delimited.assign_row_index(raw))
+    table = to_cells(delimited.read_delimited(spark, source, has_header, **read_options))
     cellstore.write_cells(table, target, dataset_id)
     return cellstore.read_cells(spark, target, dataset_id)

@@ -4,12 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabulith.functions import cells
 from tabulith.operators.edits import latest_changes
+from tabulith.operators.inference import infer_hints
 from tabulith.operators.vectors import embed_rows
+from tabulith.sources.delimited import read_delimited
+
+
+LAYOUT = ("column_index int, name string, original_name string, date_format string, "
+          "is_money boolean, is_measurement boolean, needs_nfc boolean")
+
+
+def _layout(spark: SparkSession, target: str) -> list[Row] | None:
+    """The stored layout of a stream, if its first batch has been read."""
+    try:
+        found = spark.read.schema(LAYOUT).parquet(f"{target}/_layout").orderBy("column_index").collect()
+    except AnalysisException:
+        return None
+    return found or None
+
+
+def _decide(spark: SparkSession, raw: DataFrame, target: str) -> list[Row]:
+    """Infer the layout from the rows of the first batch and store it for all later ones."""
+    columns = [c for c in raw.columns if c != "row_index"]
+    hints = infer_hints(raw, columns)
+    rows = [
+        (i, c, raw.schema[c].metadata.get("original_name", c), hints["date_formats"].get(c),
+         c in hints["money_columns"], c in hints["measurement_columns"], c in hints["unicode_columns"])
+        for i, c in enumerate(columns)
+    ]
+    spark.createDataFrame(rows, LAYOUT).coalesce(1).write.mode("overwrite").parquet(f"{target}/_layout")
+    return _layout(spark, target)
 
 
 def ingest_stream(
@@ -17,31 +46,78 @@ def ingest_stream(
     source: str,
     target: str,
     checkpoint: str,
-    columns: list[str],
-    hints: dict,
-    key: str,
-    delimiter: str = ",",
-    header: bool = True,
+    has_header: bool | None = None,
+    max_files: int = 1000,
 ) -> StreamingQuery:
-    """Files dropped into a folder to cells, appended to `target`; drains what is there.
+    """Files dropped anywhere below a folder to cells, appended to `target`; drains what is there.
 
-    A stream has no first 500 rows, so `hints` come from a sample taken before it starts and hold
-    for its life. `key` names the column that carries the row number. The checkpoint remembers
-    the files read, so a restart neither loses nor repeats one.
+    The stream is one of files: each is read once, as `read_delimited` reads it, so ordinary CSV
+    and TSV files will do. Rows are numbered on from batch to batch, in a batch by path and place.
+    What has to be remembered is kept beside the cells: column names and types, inferred from all
+    rows of the first batch (`_layout`), and per batch its first row number and its rows
+    (`_batches`). A batch that runs again after a failure finds the same files and the same first
+    number and replaces itself, so numbers are dense and stay as they are over restarts. A file
+    whose header names other columns fails the batch. `max_files` bounds the paths of a batch.
     """
-    schema = ", ".join(f"`{c}` string" for c in [key, *columns])
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = (
-        spark.readStream.schema(schema).option("header", header).option("sep", delimiter)
-        .option("quote", '"').option("escape", '"').csv(source)
+        spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files).load(source).select("path")  # no content is read
     )
-    raw = files.select(F.col(key).try_cast("bigint").alias("row_index"), *columns)
-    parsed = cells.normalize_row(raw, columns, **hints)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        paths = sorted(r[0] for r in batch.collect())
+        if not paths:
+            return
+        raw = read_delimited(session, paths, has_header)
+        layout = _layout(session, target) or _decide(session, raw, target)
+        names = [r["name"] for r in layout]
+        found = [c for c in raw.columns if c != "row_index"]
+        if len(found) != len(names) or (found != names and not _unnamed(found)):
+            raise ValueError(f"columns {found} of batch {batch_id} are not {names}")
+        start = _rows_before(session, target, batch_id)
+        raw = raw.toDF("row_index", *names).withColumn("row_index", F.col("row_index") + start)
+        parsed = cells.normalize_row(
+            raw, names,
+            {r["name"]: r["date_format"] for r in layout},
+            {r["name"] for r in layout if r["is_money"]},
+            {r["name"] for r in layout if r["is_measurement"]},
+            {r["name"] for r in layout if r["needs_nfc"]})
+        folder = f"{target}/batch_id={batch_id}"
+        parsed.write.mode("overwrite").parquet(folder)
+        n = session.read.parquet(folder).count()
+        session.createDataFrame([(start, n)], "start bigint, n bigint").write.mode("overwrite").parquet(
+            f"{target}/_batches/batch_id={batch_id}")
+
     return (
-        parsed.writeStream.format("parquet").option("path", target)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
+def _unnamed(columns: list[str]) -> bool:
+    return columns == [f"col_{i + 1}" for i in range(len(columns))]
+
+
+def _rows_before(spark: SparkSession, target: str, batch_id: int) -> int:
+    """The number of rows that earlier batches hold."""
+    try:
+        batches = spark.read.schema("start bigint, n bigint, batch_id bigint").parquet(f"{target}/_batches")
+    except AnalysisException:
+        return 0
+    return batches.where(F.col("batch_id") < batch_id).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def stream_cells(spark: SparkSession, target: str) -> DataFrame:
+    """What the stream has read so far, a cell table."""
+    stored = spark.read.parquet(target).drop("batch_id")
+    originals = {r["name"]: r["original_name"] for r in _layout(spark, target) or []}
+    return stored.select(*[
+        F.col(f"`{c}`").alias(c, metadata={"original_name": originals[c]}) if c in originals else F.col(f"`{c}`")
+        for c in stored.columns])
+
+
 def index_stream(
     spark: SparkSession,
     source: str,

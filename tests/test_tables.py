@@ -1,5 +1,8 @@
 """Small tables through ingest, queries, search and edits."""
 
+import csv
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,14 +123,81 @@ def test_date_formats_look_at_all_values(spark):
 
 def test_files(spark, tmp_path):
     f = tmp_path / "sales.csv"
-    f.write_bytes("﻿Sales Person,Boxes Shipped,Sales Person\nAnn,\"1,200\"\n\"Bo \"\"B\"\"\",7,x,extra\n".encode())
+    f.write_bytes("\ufeffSales Person,Boxes Shipped,Sales Person\nAnn,\"1,200\"\n\"Bo \"\"B\"\"\",7,x,extra\n".encode())
     raw = delimited.read_delimited(spark, str(f))
-    assert raw.columns == ["sales_person", "boxes_shipped", "sales_person_2"]
+    assert raw.columns == ["row_index", "sales_person", "boxes_shipped", "sales_person_2"]
+    assert raw.schema["boxes_shipped"].metadata == {"original_name": "Boxes Shipped"}
     assert [tuple(r) for r in delimited.assign_row_index(raw).orderBy("row_index").collect()] == [
         (0, "Ann", "1,200", None), (1, 'Bo "B"', "7", "x")]
     (tmp_path / "plain.tsv").write_text("1\t2.5\n2\t3.5\n")
     plain = delimited.read_delimited(spark, str(tmp_path / "plain.tsv"))
-    assert plain.columns == ["col_1", "col_2"] and plain.count() == 2
+    assert plain.columns == ["row_index", "col_1", "col_2"] and plain.count() == 2
+
+
+def rows_read(spark, path, **options):
+    return [tuple(r) for r in delimited.read_delimited(spark, str(path), **options).orderBy("row_index").collect()]
+
+
+def test_each_file_has_its_own_verdict(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,age\nann,3\n")
+    (tmp_path / "b.csv").write_text("5,7\n6,8\n")
+    (tmp_path / "c.tsv").write_text("Name\tAge\nbo\t4\n")
+    (tmp_path / "d.csv").write_text("")
+    assert rows_read(spark, tmp_path) == [(0, "ann", "3"), (1, "5", "7"), (2, "6", "8"), (3, "bo", "4")]
+    assert len(rows_read(spark, tmp_path, has_header=False)) == 6
+    (tmp_path / "e.csv").write_text("age,name\n3,ann\n")
+    with pytest.raises(ValueError, match="columns"):
+        rows_read(spark, tmp_path)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "d.csv").write_text("")
+    with pytest.raises(ValueError, match="no records"):
+        rows_read(spark, tmp_path / "none")
+
+
+def test_blank_lines_are_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n\n3,4\n\n")
+    assert rows_read(spark, tmp_path / "a.csv") == [(0, "1", "2"), (1, None, None), (2, "3", "4"), (3, None, None)]
+
+
+def test_quoted_breaks_are_read_in_splits(spark, tmp_path):
+    """Records with line breaks, in more splits than records have lines, as the csv module reads them."""
+    rng = random.Random(5)
+    odd = ['plain', 'a "quoted" word', 'two\nlines', 'ends in break\n', '\n', 'comma, and\n\n"x"', '5" pipe', '', '""']
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["name", "first\nnote", "size"])
+            for i in range(400):
+                out.writerow([f"n{i}", rng.choice(odd), i])
+            f.write('n400,5" raw,400\n"x"y"z,"a\nb"c,401\n')
+    expected = []
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, newline="") as f:
+            expected += list(csv.reader(f))[1:]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        raw = delimited.read_delimited(spark, str(tmp_path))
+        got = [tuple(r) for r in raw.orderBy("row_index").collect()]
+        lines, _ = delimited.read_records(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert raw.columns == ["row_index", "name", "first_note", "size"]
+    assert [r[0] for r in got] == list(range(len(expected)))
+    for g, e in zip(got, expected):
+        if e[0].startswith("n"):
+            assert [x or "" for x in g[1:]] == e, (g, e)
+    assert lines.count() == len(expected) + 2
+
+
+def test_open_after_follows_the_csv_module(spark):
+    lines = ['a,b', '"a', 'a"', '"a,b"', '"a""', '"a"""', 'x"y,"z', '"a"b"c', '""', '"', ',"', '"a","b', 'b",c', '"",""""', '']
+    df = spark.createDataFrame([(t,) for t in lines], "t string").select("t", delimited.open_after(F.col("t"), F.lit(",")).alias("o"))
+    for t, o in df.collect():
+        for inside, got in ((False, o.out), (True, o.inside)):
+            text = ('"' if inside else "") + t
+            plus = list(csv.reader([text + "\n", 'end"\n']))  # one record if the first line is left open
+            assert got == (len(plus) == 1), (t, inside)
 
 
 def test_file_checks_and_headers(spark, tmp_path):
@@ -135,20 +205,25 @@ def test_file_checks_and_headers(spark, tmp_path):
         "header.csv": b"name,age\nAnn,3\n", "bare.csv": b"1,2\n3,4\n", "only_header.csv": b"name,age\n",
         "text.csv": b"city\nParis\n", "one_row.csv": b"Ann,3\n", "nul.csv": b"a,b\n\x00,1\n",
         "latin.csv": b"caf\xe9,1\n", "notes.txt": b"a,b\n", "tab.tsv": b"name\tage\nAnn\t3\n",
-        "quoted.csv": b'"last, first",age\n"Doe, ""J""",4\n',
+        "quoted.csv": b'"last, first",age\n"Doe, ""J""",4\n', "empty.csv": b"", "empty.txt": b"",
+        "late nul.csv": b"a,b\n" + b"1,2\n" * 40000 + b"\x00,1\n", "late+latin.csv": b"a,b\n" + b"1,2\n" * 40000 + b"\xe9,1\n",
+        "wide.csv": "é,ü\n".encode() * 20000, "breaks.csv": b'"first\n\nname",age\n"a\nb",3\n',
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     reasons = {r[0]: r[1] for r in delimited.check_files(spark, str(tmp_path)).select(name, "reason").collect()}
+    assert set(reasons) == set(files)
     assert {k: v for k, v in reasons.items() if v} == {
-        "nul.csv": "binary", "latin.csv": "not_utf8", "notes.txt": "extension"}
+        "nul.csv": "binary", "latin.csv": "not_utf8", "notes.txt": "extension", "empty.csv": "empty",
+        "empty.txt": "extension", "late nul.csv": "binary", "late+latin.csv": "not_utf8"}
     large = delimited.check_files(spark, str(tmp_path), max_bytes=10).where("reason = 'too_large'")
     assert large.count() == sum(len(c) > 10 for c in files.values())
     heads = {r[0]: r[1] for r in delimited.infer_header(spark, str(tmp_path)).select(name, "has_header").collect()}
-    assert {k: heads[k] for k in ("header.csv", "bare.csv", "only_header.csv", "text.csv", "one_row.csv", "tab.tsv", "quoted.csv")} == {
+    assert set(heads) == set(files)
+    assert {k: heads[k] for k in ("header.csv", "bare.csv", "only_header.csv", "text.csv", "one_row.csv", "tab.tsv", "quoted.csv", "empty.csv", "breaks.csv")} == {
         "header.csv": True, "bare.csv": False, "only_header.csv": True, "text.csv": True, "one_row.csv": False,
-        "tab.tsv": True, "quoted.csv": True}
+        "tab.tsv": True, "quoted.csv": True, "empty.csv": None, "breaks.csv": True}
 
 
 def test_unique_names(spark, monkeypatch):
@@ -203,7 +278,7 @@ def test_search(space, monkeypatch, block):
 
 def test_approximate_search(space):
     df, rows, queries, asked = space
-    hits = vectors.ann_topk(df, queries, 10, bucket=1.0).collect()
+    hits = vectors.ann_topk(df, queries, 10).collect()
     found = sum(len({r["row_index"] for r in hits if r["query_id"] == q} & set(brute(rows, v, 10))) for q, v, _ in asked)
     assert found / (10 * len(asked)) > 0.8
 
