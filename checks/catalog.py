@@ -60,12 +60,6 @@ def datasets(s, sf):
     return fixture(s, sf, "fx_datasets").where("is_index_ready")
 
 
-def one_per_name(s, sf):
-    """The first dataset of each name that two words long names make unique."""
-    d = datasets(s, sf)
-    return d.join(d.groupBy("name").agg(F.min("dataset_id").alias("dataset_id")).drop("name"), "dataset_id", "left_semi")
-
-
 QUERIES = {
     "visible_datasets": visible,
     "viewer_classes": viewer_classes,
@@ -106,7 +100,7 @@ QUERIES = {
         fixture(s, sf, "fx_vector_rows"), fixture(s, sf, "fx_vectors")).withColumn("progress", F.round("progress", 4)),
     "index_backlog": lambda s, sf: catalog.index_backlog(fixture(s, sf, "fx_vector_rows"), fixture(s, sf, "fx_vectors")),
     "resolve_dataset": lambda s, sf: resolve.resolve_dataset(requests(s, sf), datasets(s, sf)),
-    "resolve_dataset_strict": lambda s, sf: resolve.resolve_dataset_strict(requests(s, sf), one_per_name(s, sf)),
+    "resolve_dataset_strict": lambda s, sf: resolve.resolve_dataset_strict(requests(s, sf), datasets(s, sf)),
 }
 
 _V = dict(
@@ -188,7 +182,7 @@ SELECT t.request_id, CASE WHEN EXISTS (SELECT 1 FROM ds WHERE ds.dataset_id = t.
   WHEN asked_id IS NOT NULL AND NOT (w <> '' OR heard) AND score < 50 THEN NULL ELSE id END AS resolved_id,
  CASE WHEN EXISTS (SELECT 1 FROM ds WHERE ds.dataset_id = t.asked_id) THEN 'ok' WHEN asked_id IS NULL AND NOT (w <> '' OR heard) THEN 'hint_required'
   WHEN asked_id IS NOT NULL AND NOT (w <> '' OR heard) AND score < 50 THEN 'not_found' ELSE 'ok' END AS status FROM t JOIN b ON b.request_id = t.request_id""",
-    "resolve_dataset_strict": with_("fx_datasets", rq=_REQ, al=_DS, ds="SELECT * FROM al WHERE dataset_id IN (SELECT min(dataset_id) FROM al GROUP BY name)",
+    "resolve_dataset_strict": with_("fx_datasets", rq=_REQ, al=_DS, ds="SELECT * FROM al",
         t=f"SELECT *, {_TOKEN('regexp_replace(trim(dataset_name), chr(92) || chr(46) || chr(99) || chr(115) || chr(118) || chr(36), chr(32))')} AS w FROM rq",
         c="""SELECT *, (SELECT count(*) FROM ds WHERE w <> '' AND (nt = w OR ft = w)) AS ne, (SELECT min(dataset_id) FROM ds WHERE nt = w OR ft = w) AS ie,
   (SELECT count(*) FROM ds WHERE w <> '' AND (contains(nt, w) OR contains(ft, w))) AS np, (SELECT min(dataset_id) FROM ds WHERE contains(nt, w) OR contains(ft, w)) AS ip FROM t""",

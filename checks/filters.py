@@ -120,13 +120,18 @@ QUERIES["paginate"] = lambda s, sf: positions(
     F.col("order_date.normalized").alias("order_date"), "row_count")
 ORACLES["paginate"] = SALES_WITH + """SELECT row_index, order_date, (SELECT count(*) FROM cells WHERE status = 'F') AS row_count
  FROM cells WHERE status = 'F' ORDER BY order_date NULLS LAST, row_index LIMIT 30 OFFSET 20"""
+QUERIES["paginate_deep"] = lambda s, sf: positions(
+    paging.paginate(sales(s, sf), "amount", "desc", limit=40, offset=12_000),
+    F.col("amount.normalized").alias("amount"), "row_count")
+ORACLES["paginate_deep"] = SALES_WITH + f"""SELECT row_index, amount, (SELECT count(*) FROM cells) AS row_count
+ FROM cells ORDER BY {NUM} DESC NULLS LAST, row_index LIMIT 40 OFFSET 12000"""
 QUERIES["filter_row_indices"] = lambda s, sf: paging.filter_row_indices(
     sales(s, sf), [one("note", "is null")], 50)
 ORACLES["filter_row_indices"] = SALES_WITH + """SELECT row_index, (SELECT count(*) FROM cells WHERE note IS NULL) AS total_match_count,
  (SELECT count(*) FROM cells WHERE note IS NULL) > 50 AS truncated FROM cells WHERE note IS NULL ORDER BY row_index LIMIT 50"""
 
 
-def rows_by_indices(s, sf):
+def requested_rows(s, sf):
     """Each customer's requested list: its own order keys, newest first, and one missing key."""
     orders = base(s, sf, "orders")
     asked = orders.groupBy(F.col("o_custkey").alias("request_id")).agg(
@@ -136,8 +141,13 @@ def rows_by_indices(s, sf):
     ).select("request_id", F.col("position").cast("bigint").alias("position"), "row_index", "o_orderstatus", "found")
 
 
-QUERIES["rows_by_indices"] = rows_by_indices
-ORACLES["rows_by_indices"] = """
+QUERIES["rows_by_indices"] = lambda s, sf: paging.rows_by_indices(
+    sales(s, sf), [70, 3, 3, 900, 0, 12, 70], ["Amount", "status"]).withColumn("position", F.col("position").cast("bigint"))
+ORACLES["rows_by_indices"] = with_("fx_sales") + """, asked AS (
+ SELECT unnest(range(7)) AS position, unnest([70, 3, 3, 900, 0, 12, 70]) AS row_index)
+SELECT position, row_index, amount, status FROM asked JOIN fx_sales USING (row_index)"""
+QUERIES["requested_rows"] = requested_rows
+ORACLES["requested_rows"] = """
 WITH k AS (SELECT o_custkey AS request_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS position,
   o_orderkey AS row_index, o_orderstatus, true AS found FROM orders)
 SELECT * FROM k UNION ALL SELECT request_id, count(*), -1, NULL, false FROM k GROUP BY request_id"""

@@ -133,6 +133,8 @@ QUERIES = {
     "cosine_topk_scoped": lambda s, sf: shown(vectors.cosine_topk(
         rows(s, sf), centroids(s, sf).withColumn("dataset_id", (F.col("query_id") + 3) % 10), 10)),
     "ann_topk": ann,
+    "ann_recall": lambda s, sf: vectors.ann_recall(rows(s, sf), centroids(s, sf), 10).select(
+        "query_id", "wanted", (F.col("recall") >= 0.9).alias("enough"), (F.col("scored_share") <= 1).alias("share_known")),
     "keyword_match": keyword_filter,
     "keyword_match_counts": keyword_counts,
     "semantic_search": lambda s, sf: shown(vectors.semantic_search(
@@ -189,6 +191,8 @@ ORACLES = {
     "embed_rows": "SELECT doc_id AS row_index, CAST(384 AS BIGINT) AS width, 1.0::DOUBLE AS square FROM documents WHERE text <> ''",
     "cosine_topk": ranked("true", "score DESC,", 10),
     "cosine_topk_scoped": ranked("label = (query_id + 3) % 10", "score DESC,", 10),
+    "ann_recall": """SELECT CAST(label AS BIGINT) AS query_id, CAST(10 AS BIGINT) AS wanted, true AS enough, true AS share_known
+ FROM embeddings GROUP BY label""",
     "keyword_match": f"SELECT doc_id FROM documents WHERE list_has_any({_DOC_TOKENS}, ['wrote','heneation','theren','ouque'])",
     "keyword_match_counts": f"""WITH d AS (SELECT doc_id, list_distinct({_DOC_TOKENS}) AS t FROM documents),
  q AS (SELECT item_id, {R.keywords('text')} AS k FROM benchmark)

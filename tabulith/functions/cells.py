@@ -1,4 +1,7 @@
-"""The cell: STRUCT<original, normalized, type, number, currency, unit, epoch_seconds>.
+"""The cell: STRUCT<original, normalized, type, number, currency, unit, epoch_seconds, plain>.
+
+`plain` is what filters and aggregates read as the cell's number (`numbers.sql_number`), which
+differs from `number`, the typed one. Being stored, it can be pruned to and filtered in the scan.
 
 A *cell table* is `row_index` plus one cell struct per column; columns whose name starts with
 two underscores are internal. Being a struct, a cell prunes and pushes down field by field.
@@ -12,7 +15,7 @@ from tabulith.functions import dates, numbers, text
 
 CELL = (
     "struct<original:string,normalized:string,type:string,number:double,"
-    "currency:string,unit:string,epoch_seconds:bigint>"
+    "currency:string,unit:string,epoch_seconds:bigint,plain:double>"
 )
 
 
@@ -29,7 +32,7 @@ def value_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def _cell(original, normalized, type_, number=None, currency=None, unit=None, epoch=None) -> Column:
+def _cell(original, normalized, type_, number=None, currency=None, unit=None, epoch=None, plain=None) -> Column:
     null = F.lit(None)
     fields = {
         "original": (original, "string"),
@@ -39,6 +42,7 @@ def _cell(original, normalized, type_, number=None, currency=None, unit=None, ep
         "currency": (null if currency is None else currency, "string"),
         "unit": (null if unit is None else unit, "string"),
         "epoch_seconds": (null if epoch is None else epoch, "bigint"),
+        "plain": (null if plain is None else plain, "double"),
     }
     return F.struct(*[c.cast(t).alias(n) for n, (c, t) in fields.items()])
 
@@ -84,21 +88,24 @@ def normalize_row(
     def build(c: str) -> Column:
         raw = F.col(f"`{c}`")
         epoch, number, words = (F.col(f"`__{k}_{c}`") for k in ("epoch", "number", "text"))
+        # An ISO date is no number to the filters' rule.
         out = F.when(
             epoch.isNotNull(), _cell(raw, dates.epoch_to_iso(epoch), "date", epoch=epoch)
         )
         if c in money:
             amount = _cell(raw, numbers.two_decimals(number), "money", number,
-                           currency=numbers.currency_of(raw))
+                           currency=numbers.currency_of(raw),
+                           plain=numbers.two_decimals(number).try_cast("double"))
             out = out.when(number.isNotNull(), amount)
         if c in measured:
             value, unit = (F.col(f"`__standard_{c}`.{k}") for k in ("number", "unit"))
             shown = numbers.format_measurement(value, unit)
             out = out.when(
-                value.isNotNull(), _cell(raw, shown, "measurement", value, unit=unit)
+                value.isNotNull(),
+                _cell(raw, shown, "measurement", value, unit=unit, plain=numbers.sql_number(shown))
             )
         kind = F.when(number.isNotNull(), F.lit("number"))
-        return out.otherwise(_cell(raw, words, kind, number)).alias(c)
+        return out.otherwise(_cell(raw, words, kind, number, plain=numbers.sql_number(words))).alias(c)
 
     wanted = set(columns)
     return staged.select(
@@ -106,6 +113,14 @@ def normalize_row(
     )
 
 
+def plain_number(df: DataFrame, column: str) -> Column:
+    """What filters and aggregates read as the number of a column's cells: the stored field, or for
+    cells without it the rule itself."""
+    if "plain" in df.schema[column].dataType.names:
+        return F.col(f"`{column}`.plain")
+    return numbers.sql_number(F.col(f"`{column}`.normalized"))
+
+
 # ── accessors ─────────────────────────────────────────────────────────────────
 
 

@@ -6,22 +6,22 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulith.functions import cells
 from tabulith.functions.dates import date_part_bucket
-from tabulith.functions.numbers import sql_number
 from tabulith.operators.filters import filter_rows, resolve_column
-from tabulith.operators.inference import column_currency, column_unit
+from tabulith.operators.inference import column_marks
 
 _AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
-def _metric(agg: str, column: str | None) -> Column:
+def _metric(df: DataFrame, agg: str, column: str | None) -> Column:
     if agg == "count":
         return F.count(F.lit(1))
     if agg not in _AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}")
     if not column:
         raise ValueError(f"{agg} needs a column")
-    return _AGGREGATES[agg](sql_number(F.col(f"`{column}`.normalized")))
+    return _AGGREGATES[agg](cells.plain_number(df, column))
 
 
 def output_keys(metrics: list[dict]) -> list[str]:
@@ -66,7 +66,7 @@ def aggregate(
         for m in metrics
     ]
     matched = filter_rows(df, conditions)
-    values = [_metric(m["agg"], m["column"]).alias(f"__m{i}") for i, m in enumerate(metrics)]
+    values = [_metric(df, m["agg"], m["column"]).alias(f"__m{i}") for i, m in enumerate(metrics)]
     if group_by:
         key = group_key(resolve_column(df, group_by), date_part)
         grouped = matched.groupBy(key.alias("group_value")).agg(*values)
@@ -79,9 +79,9 @@ def aggregate(
     if annotate:
         first = metrics[0]["column"]
         if first:
-            columns.append(column_currency(df, [first]).select("currency").scalar()
-                           .alias("metric_currency"))
-            columns.append(column_unit(df, [first]).select("unit").scalar().alias("metric_unit"))
+            # One scan for both; its result is a row.
+            marks = column_marks(df, [first]).select(F.struct("currency", "unit").alias("m")).scalar()
+            columns += [marks["currency"].alias("metric_currency"), marks["unit"].alias("metric_unit")]
         else:
             columns += [F.lit(None).cast("string").alias(n)
                         for n in ("metric_currency", "metric_unit")]

@@ -13,7 +13,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulith.functions import cells
-from tabulith.functions.numbers import sql_number
 from tabulith.operators import inference
 
 # --- fixed values: spellings accepted for an operator ---
@@ -182,12 +181,14 @@ def find_test(operator: str) -> Test:
     return test
 
 
-def predicate(column: str, test: Test, value: str | None = None, kind: str = "text") -> Column:
+def predicate(
+    df: DataFrame, column: str, test: Test, value: str | None = None, kind: str = "text"
+) -> Column:
     """One condition on a column of cells. `kind` is that of the column, wanted where a test orders."""
     if value is None and test.arguments is not _none:
         raise ValueError(f"a value for {column} is missing")
     text = F.col(f"`{column}`.normalized")
-    tested = sql_number(text) if test.orders and kind != "date" else text
+    tested = cells.plain_number(df, column) if test.orders and kind != "date" else text
     return test.holds(tested, *test.arguments(value, kind))
 
 
@@ -199,7 +200,7 @@ def bool_chain(df: DataFrame, conditions: list[dict]) -> Column:
         for c in conditions
     ]
     kinds = column_kinds(df, [c for c, test, _, _ in items if test.orders])
-    terms = [(predicate(c, test, v, kinds.get(c, "text")), joiner) for c, test, v, joiner in items]
+    terms = [(predicate(df, c, test, v, kinds.get(c, "text")), joiner) for c, test, v, joiner in items]
     return reduce(
         lambda left, term: left | term[0] if term[1] == "OR" else left & term[0],
         terms[1:],

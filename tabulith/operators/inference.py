@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tabulith import fixed
 from tabulith.functions import cells, dates, numbers
@@ -58,36 +58,39 @@ def _not_blank(text: Column) -> Column:
 # ── raw text columns ──────────────────────────────────────────────────────────
 
 
-def scan_columns(df: DataFrame, columns: list[str]) -> dict[str, tuple[str | None, bool]]:
-    """{column: (date format, may need NFC)} from one pass over all rows.
+def _date_stats(raw: Column) -> dict[str, Column]:
+    """A first part above 12 in any date-like value says that days come first, a second part above
+    12 that months do; both together say nothing."""
+    return {
+        "seen": F.count_if(dates.is_date_layout(raw)),
+        "day_first": F.coalesce(F.bool_or(dates.first_above_12(raw)), F.lit(False)),
+        "month_first": F.coalesce(F.bool_or(dates.second_above_12(raw)), F.lit(False)),
+        "suspect": F.coalesce(F.bool_or(raw.rlike(NFC_SUSPECT)), F.lit(False)),
+    }
 
-    A first part above 12 in any date-like value says that days come first, a second part above
-    12 that months do; both together say nothing.
-    """
-    found = _per_column(
-        df,
-        columns,
-        lambda raw: {
-            "seen": F.count_if(dates.is_date_layout(raw)),
-            "day_first": F.coalesce(F.bool_or(dates.first_above_12(raw)), F.lit(False)),
-            "month_first": F.coalesce(F.bool_or(dates.second_above_12(raw)), F.lit(False)),
-            "suspect": F.coalesce(F.bool_or(raw.rlike(NFC_SUSPECT)), F.lit(False)),
-        },
-    ).collect()
 
-    def date_format(r) -> str | None:
-        if not r["seen"] or (r["day_first"] and r["month_first"]):
-            return None
-        return "mdy" if r["month_first"] else "dmy"
+def _money_stats(raw: Column) -> dict[str, Column]:
+    return {"money": F.count_if(numbers.looks_like_money(raw))}
 
-    return {r["column"]: (date_format(r), r["suspect"]) for r in found}
+
+def _measurement_stats(raw: Column) -> dict[str, Column]:
+    return {
+        "measured": F.count_if(numbers.looks_like_measurement(raw)),
+        "filled": F.count_if(_not_blank(raw)),
+    }
+
+
+def _date_format(r: Row) -> str | None:
+    if not r["seen"] or (r["day_first"] and r["month_first"]):
+        return None
+    return "mdy" if r["month_first"] else "dmy"
 
 
 def infer_date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
     """`date_format` dmy, mdy or NULL per column."""
-    found = scan_columns(df, columns)
+    found = _per_column(df, columns, _date_stats).collect()
     return df.sparkSession.createDataFrame(
-        [(c, f) for c, (f, _) in found.items()], "column string, date_format string"
+        [(r["column"], _date_format(r)) for r in found], "column string, date_format string"
     )
 
 
@@ -95,25 +98,16 @@ def infer_money_columns(
     df: DataFrame, columns: list[str], sample_rows: int | None = None
 ) -> DataFrame:
     sample = first_rows(df, sample_rows)
-    stats = _per_column(
-        sample, columns, lambda c: {"hits": F.count_if(numbers.looks_like_money(c))}
-    )
-    return stats.select("column", (F.col("hits") > 0).alias("is_money"))
+    stats = _per_column(sample, columns, _money_stats)
+    return stats.select("column", (F.col("money") > 0).alias("is_money"))
 
 
 def infer_measurement_columns(
     df: DataFrame, columns: list[str], sample_rows: int | None = None
 ) -> DataFrame:
     sample = first_rows(df, sample_rows)
-    stats = _per_column(
-        sample,
-        columns,
-        lambda c: {
-            "hits": F.count_if(numbers.looks_like_measurement(c)),
-            "filled": F.count_if(_not_blank(c)),
-        },
-    )
-    share = F.col("hits") / F.col("filled").cast("double")
+    stats = _per_column(sample, columns, _measurement_stats)
+    share = F.col("measured") / F.col("filled").cast("double")
     return stats.select(
         "column",
         F.when(F.col("filled") > 0, share >= fixed.MEASUREMENT_SHARE)
@@ -123,16 +117,21 @@ def infer_measurement_columns(
 
 
 def infer_hints(df: DataFrame, columns: list[str], sample: DataFrame | None = None) -> dict:
-    """Keyword arguments for `normalize_row`. `sample`: the first rows, if already at hand."""
-    sample = df if sample is None else sample
-    scanned = scan_columns(df, columns)
+    """Keyword arguments for `normalize_row`, from one aggregate over all rows. With `sample`, money
+    and measurements are looked for in those rows only."""
+    every = [_date_stats] if sample is not None else [_date_stats, _money_stats, _measurement_stats]
+    found = _per_column(df, columns, lambda c: {k: v for s in every for k, v in s(c).items()})
+    dates_ = {r["column"]: r for r in found.collect()}
+    rest = dates_
+    if sample is not None:
+        rest = {r["column"]: r for r in _per_column(
+            sample, columns, lambda c: _money_stats(c) | _measurement_stats(c)).collect()}
     return {
-        "date_formats": {c: f for c, (f, _) in scanned.items()},
-        "unicode_columns": {c for c, (_, suspect) in scanned.items() if suspect},
-        "money_columns": {c for c, v in verdicts(infer_money_columns(sample, columns)).items() if v},
+        "date_formats": {c: _date_format(r) for c, r in dates_.items()},
+        "unicode_columns": {c for c, r in dates_.items() if r["suspect"]},
+        "money_columns": {c for c, r in rest.items() if r["money"] > 0},
         "measurement_columns": {
-            c for c, v in verdicts(infer_measurement_columns(sample, columns)).items() if v
-        },
+            c for c, r in rest.items() if r["filled"] and r["measured"] / r["filled"] >= fixed.MEASUREMENT_SHARE},
     }
 
 
@@ -140,9 +139,11 @@ _TYPES = fixed.TYPE_PRIORITY[1:]
 
 
 def _type_votes(sample: DataFrame, columns: list[str], type_of) -> DataFrame:
-    stats = _per_column(
-        sample, columns, lambda c: {t: F.count_if(type_of(c) == t) for t in _TYPES}
-    )
+    # A cell's type is worked out once, as a small number per column; numbers are counted.
+    codes = {t: i for i, t in enumerate(_TYPES)}
+    of = F.create_map(*[F.lit(x) for t, i in codes.items() for x in (t, i)])
+    coded = sample.select(*[F.try_element_at(of, type_of(F.col(f"`{c}`"))).alias(c) for c in columns])
+    stats = _per_column(coded, columns, lambda c: {t: F.count_if(c == i) for t, i in codes.items()})
     observed = sum((F.col(t) for t in _TYPES), F.lit(0))
     return stats.select(
         "column", F.when(observed == 0, "unknown").otherwise(_winner(_TYPES)).alias("inferred_type")
@@ -253,21 +254,23 @@ def detect_date_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return _sort_stats(df, columns).select("column", _share("all_dates").alias("is_date"))
 
 
-def _first_typed(df: DataFrame, columns: list[str], type_: str, field: str) -> DataFrame:
+_MARKS = {"currency": "money", "unit": "measurement"}
+
+
+def column_marks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Currency and unit of the first cell that has one, per column, from one scan."""
     row = F.col("row_index")
-    stats = _per_column(
-        df,
-        columns,
-        lambda c: {field: F.min_by(c[field], F.when((c["type"] == type_) & c[field].isNotNull(), row))},
-    )
-    return stats.select("column", field)
+    stats = _per_column(df, columns or cells.value_columns(df), lambda c: {
+        field: F.min_by(c[field], F.when((c["type"] == kind) & c[field].isNotNull(), row))
+        for field, kind in _MARKS.items()})
+    return stats.select("column", *_MARKS)
 
 
 def column_currency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Currency of the first money cell that names one."""
-    return _first_typed(df, columns or cells.value_columns(df), "money", "currency")
+    return column_marks(df, columns).select("column", "currency")
 
 
 def column_unit(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Unit of the first measurement cell."""
-    return _first_typed(df, columns or cells.value_columns(df), "measurement", "unit")
+    return column_marks(df, columns).select("column", "unit")

@@ -11,8 +11,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulith.functions import dates
-from tabulith.functions.numbers import sort_number, sql_number
+from tabulith.functions import cells, dates
+from tabulith.functions.numbers import sort_number
 from tabulith.operators import inference
 from tabulith.operators.filters import (
     column_kinds, filter_rows, project_columns, resolve_column, search_any_cell,
@@ -23,7 +23,7 @@ def _sort_key(df: DataFrame, column: str, sort_as: str) -> Column:
     kind = column_kinds(df, [column])[column] if sort_as == "auto" else sort_as
     text = F.col(f"`{column}`.normalized")
     # ISO text sorts in date order.
-    return sql_number(text) if kind == "number" else text
+    return cells.plain_number(df, column) if kind == "number" else text
 
 
 #: A page that ends within so many rows is one top-k; one further down is looked for by counting.

@@ -13,18 +13,20 @@ def text_columns(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if t == "string" and not cells.is_internal(n)]
 
 
+def parsed(df: DataFrame) -> DataFrame:
+    """Raw rows with `row_index` to cells, types inferred from all rows in one aggregate."""
+    columns = text_columns(df)
+    out = cells.normalize_row(df, columns, **inference.infer_hints(df, columns))
+    metadata = {f.name: f.metadata for f in df.schema.fields}
+    return out.select(*[F.col(f"`{c}`").alias(c, metadata=metadata[c]) for c in out.columns])
+
+
 def to_cells(df: DataFrame) -> DataFrame:
-    """Raw rows with `row_index` to cells, each column's kind noted in the schema.
+    """Raw rows to cells, each column's kind noted in the schema: for tables that are not stored.
 
-    Every row has a say in the types and kinds, so the rows are read for the hints, for the kinds
-    of the parsed cells, and for the parse itself, which is lazy.
+    Every row has a say in the kinds, so the rows are parsed for them, and again when used.
     """
-    columns = text_columns(df)
-    hints = inference.infer_hints(df, columns)
-    out = cells.normalize_row(df, columns, **hints)
-    metadata = {f.name: f.metadata for f in df.schema.fields}
-    named = out.select(*[F.col(f"`{c}`").alias(c, metadata=metadata[c]) for c in out.columns])
-    return cellstore.with_kinds(named, out)
+    return cellstore.with_kinds(parsed(df))
 
 
 def ingest(
@@ -35,7 +37,12 @@ def ingest(
     has_header: bool | None = None,
     **read_options,
 ) -> DataFrame:
-    """Read delimited files, normalize, write one dataset and return it as stored."""
-    table = to_cells(delimited.read_delimited(spark, source, has_header, **read_options))
+    """Read delimited files, normalize, write one dataset and return it as stored.
+
+    The rows are read for the types and then parsed once, on the way to the store; the kinds of
+    the columns come from what is stored and are kept beside it.
+    """
+    table = parsed(delimited.read_delimited(spark, source, has_header, **read_options))
     cellstore.write_cells(table, target, dataset_id)
+    cellstore.write_kinds(spark, target, dataset_id)
     return cellstore.read_cells(spark, target, dataset_id)

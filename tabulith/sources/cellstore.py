@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulith.functions import cells
@@ -18,6 +19,7 @@ def write_cells(df: DataFrame, path: str, dataset_id: int) -> None:
     if df.isEmpty():
         empty = df.sparkSession.createDataFrame([], df.drop("dataset_id").schema)
         empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/dataset_id={dataset_id}")
+        _forget_kinds(df.sparkSession, path, dataset_id)
         return
     (
         df.withColumn("dataset_id", F.lit(dataset_id).cast("bigint"))
@@ -27,12 +29,36 @@ def write_cells(df: DataFrame, path: str, dataset_id: int) -> None:
         .partitionBy("dataset_id")
         .parquet(path)
     )
+    _forget_kinds(df.sparkSession, path, dataset_id)
 
 
 def read_cells(spark: SparkSession, path: str, dataset_id: int) -> DataFrame:
     """Rows of one dataset; only its partition is listed and read."""
-    table = spark.read.parquet(f"{path.rstrip('/')}/dataset_id={dataset_id}")
-    return table.drop("dataset_id")
+    table = spark.read.parquet(f"{path.rstrip('/')}/dataset_id={dataset_id}").drop("dataset_id")
+    try:
+        kept = spark.read.schema("column string, kind string").parquet(_kinds(path, dataset_id)).collect()
+    except AnalysisException:  # none are kept: they may be in the schema
+        return table
+    return _with_kinds(table, {r["column"]: r["kind"] for r in kept})
+
+
+def _kinds(path: str, dataset_id: int) -> str:
+    return f"{path.rstrip('/')}/_kinds/dataset_id={dataset_id}"
+
+
+def _forget_kinds(spark: SparkSession, path: str, dataset_id: int) -> None:
+    """Kinds kept of an earlier table under this number say nothing of the new one."""
+    try:
+        spark.read.parquet(_kinds(path, dataset_id))
+    except AnalysisException:
+        return
+    spark.createDataFrame([], "column string, kind string").write.mode("overwrite").parquet(_kinds(path, dataset_id))
+
+
+def write_kinds(spark: SparkSession, path: str, dataset_id: int) -> None:
+    """Infer the kinds of a stored dataset's columns and keep them beside it, a row per column."""
+    kinds = inference.infer_column_kinds(read_cells(spark, path, dataset_id))
+    kinds.select("column", "kind").coalesce(1).write.mode("overwrite").parquet(_kinds(path, dataset_id))
 
 
 def with_kinds(df: DataFrame, sample: DataFrame | None = None) -> DataFrame:
@@ -40,7 +66,10 @@ def with_kinds(df: DataFrame, sample: DataFrame | None = None) -> DataFrame:
 
     `sample`: the first rows as cells, if already at hand.
     """
-    kinds = inference.verdicts(inference.infer_column_kinds(df if sample is None else sample))
+    return _with_kinds(df, inference.verdicts(inference.infer_column_kinds(df if sample is None else sample)))
+
+
+def _with_kinds(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.select(
         *[
             F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, "kind": kinds[f.name]})
