@@ -23,7 +23,7 @@ from tabulith.llm.common import connected, free, materialize, narrowed, table
 
 EDITS, SHORTEST = 2, 24
 #: Characters whose counts, packed into one number, are compared before texts are.
-COMMON = "eatoins "
+COMMON = " etaoinsrhldcumg"
 
 
 def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, own: bool = False) -> DataFrame:
@@ -99,19 +99,20 @@ def letters(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def spectrum(line: Column) -> Column:
-    """How often common characters occur, 127 times at most, a byte each. An edit changes two of
-    the counts by one at most."""
+    """How often each of 16 common characters occurs, modulo 16, four bits each. An edit changes
+    two of the counts by one at most."""
     n, packed = F.char_length(line), F.lit(0).cast("long")
     for i, c in enumerate(COMMON):
-        count = F.least(F.lit(127), n - F.char_length(F.replace(line, F.lit(c), F.lit(""))))
-        packed = packed.bitwiseOR(F.shiftleft(count.cast("long"), 8 * i))
+        count = (n - F.char_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15))
+        packed = packed.bitwiseOR(F.shiftleft(count.cast("long"), 4 * i))
     return packed
 
 
 def alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether two spectra allow for lines within `edits` edits."""
-    lane = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(127).cast("long"))
-    apart = [F.abs(lane(a, i) - lane(b, i)) for i in range(len(COMMON))]
+    """Whether two spectra allow for lines within `edits` edits: counts differ by no less than
+    they do modulo 16, the shorter way round."""
+    lane = lambda x, i: F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("long"))
+    apart = [8 - F.abs(8 - F.abs(lane(a, i) - lane(b, i))) for i in range(len(COMMON))]
     return sum(apart[1:], apart[0]) <= 2 * edits
 
 
@@ -221,7 +222,8 @@ def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
         .distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = narrowed(unique.select("id", "hash", "line"), F.col("id"), ids)
-    texts = materialize(texts.join(ids, "id", "left_semi"), "texts")
+    # Not a semi-join, which the optimizer would put below the bitmap.
+    texts = materialize(texts.join(ids, "id"), "texts")
     of_a = texts.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("line").alias("line_a"))
     of_b = texts.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("line").alias("line_b"))
     both = pairs.join(of_a, "a").join(of_b, "b").where(
