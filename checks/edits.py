@@ -18,6 +18,15 @@ def edited(s, sf):
     return cells.flatten_normalized(edits.apply_cell_edits(sales(s, sf), fixture(s, sf, "fx_edits")))
 
 
+def rejected(s, sf):
+    """The edits, every third one aimed at a row or a column that is not there."""
+    k = F.col("row_index") % 3
+    aimed = fixture(s, sf, "fx_edits").withColumns({
+        "column_name": F.when(k == 1, F.lit("colour")).otherwise(F.col("column_name")),
+        "row_index": F.when(k == 2, -F.col("row_index") - 1).otherwise(F.col("row_index"))})
+    return edits.rejected_edits(sales(s, sf), aimed).select("row_index", "column_name", "reason")
+
+
 def renamed(s, sf):
     table = edits.rename_column(people(s, sf), "segment", " Market Segment")
     return table.select("row_index", F.col("market_segment.normalized").alias("market_segment"),
@@ -58,6 +67,7 @@ def indexed(s, sf):
 
 QUERIES = {
     "apply_cell_edits": edited,
+    "rejected_edits": rejected,
     "rename_column": renamed,
     "refresh_vectors": refreshed,
     "ingest_stream": ingested,
@@ -69,6 +79,9 @@ ORACLES = {
 SELECT c.row_index, customer, status, order_date, CASE WHEN a.v IS NOT NULL THEN printf('%.2f', {R.number('a.v')}) ELSE amount END AS amount, weight,
  CASE WHEN n.v IS NOT NULL THEN n.v ELSE note END AS note FROM cells c
  LEFT JOIN e a ON a.row_index = c.row_index AND a.column_name = 'amount' LEFT JOIN e n ON n.row_index = c.row_index AND n.column_name = 'note'""",
+    "rejected_edits": with_("fx_edits") + """SELECT CASE WHEN row_index % 3 = 2 THEN -row_index - 1 ELSE row_index END AS row_index,
+ CASE WHEN row_index % 3 = 1 THEN 'colour' ELSE column_name END AS column_name, CASE WHEN row_index % 3 = 1 THEN 'unknown_column' ELSE 'unknown_row' END AS reason
+ FROM fx_edits WHERE row_index % 3 > 0""",
     "rename_column": with_("fx_people", cells=R.PEOPLE_CELLS) + """SELECT row_index, segment AS market_segment, concat_ws(' | ', 'name: ' || name, 'nation: ' || nation,
  'region: ' || region, 'market_segment: ' || segment, 'balance: ' || balance) AS text FROM cells""",
     "refresh_vectors": """SELECT c_custkey AS row_index, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' || c_name ELSE c_name END AS text, CAST(384 AS BIGINT) AS width

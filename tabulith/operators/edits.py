@@ -25,8 +25,9 @@ def latest_edits(edits: DataFrame, columns: list[str]) -> DataFrame:
 def apply_cell_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
     """Edited rows get their new text and are parsed anew; others stay as they are.
 
-    Column types are inferred again from the first rows as edited. An edit of an unknown column
-    or row is not applied.
+    Column types are inferred again from all rows as edited, in one aggregate; the kind that was
+    noted for an edited column is dropped, so that queries infer it again. An edit of an unknown
+    column or row is not applied: see `rejected_edits`.
     """
     columns = cells.value_columns(table)
     latest = small_side(materialize(latest_edits(edits, columns), "edits"))
@@ -35,15 +36,30 @@ def apply_cell_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
         F.when(F.col(f"__new_{c}").isNotNull(), F.col(f"__new_{c}")["value"]).otherwise(text(c)).alias(c)
         for c in columns
     ]
-    sample = table.join(latest, "row_index", "left")
-    # Read by several inferences.
-    sample_text = materialize(sample.select("row_index", *edited_text), "edited-text")
-    hints = inference.infer_hints(sample_text, columns)
+    hints = inference.infer_hints(table.join(latest, "row_index", "left").select("row_index", *edited_text), columns)
     touched = table.join(latest, "row_index").select("row_index", *edited_text)
     untouched = table.join(latest.select("row_index"), "row_index", "left_anti")
-    return untouched.select("row_index", *columns).unionByName(
+    out = untouched.select("row_index", *columns).unionByName(
         cells.normalize_row(touched, columns, **hints).select("row_index", *columns)
     )
+    counts = latest.agg(*[F.count(f"__new_{c}").alias(c) for c in columns]).first()
+    kept = {c: {k: v for k, v in table.schema[c].metadata.items() if k != "kind" or not counts[c]} for c in columns}
+    return out.select("row_index", *[F.col(f"`{c}`").alias(c, metadata=kept[c]) for c in columns])
+
+
+def rejected_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
+    """The edits that `apply_cell_edits` does not apply, with a `reason`: unknown_column, else
+    unknown_row."""
+    known = table.select("row_index", F.lit(True).alias("__known"))
+    wanted = small_side(materialize(edits.select("row_index").distinct(), "edited-rows"))
+    known = known.join(wanted, "row_index", "left_semi")  # as few as the edits
+    reason = (
+        F.when(~F.coalesce(F.col("column_name").isin(cells.value_columns(table)), F.lit(False)), "unknown_column")
+        .when(F.col("__known").isNull(), "unknown_row"))
+    return (
+        edits.join(known, "row_index", "left").withColumn("reason", reason)
+        .where("reason IS NOT NULL").drop("__known")
+    )
 
 
 def rename_column(table: DataFrame, column: str, new_name: str) -> DataFrame:

@@ -227,11 +227,77 @@ filter_in, filter_between = _single("IN"), _single("BETWEEN")
 filter_is_null, filter_is_not_null = _single("IS NULL"), _single("IS NOT NULL")
 
 
-def search_any_cell(df: DataFrame, text: str) -> DataFrame:
-    """Rows where any original or normalized value contains the text, ignoring case."""
+# ── search with signatures ────────────────────────────────────────────────────
+
+#: Rows per block, and bits of a block's signature (what a Spark bitmap of one bucket holds).
+BLOCK_ROWS, SIGNATURE_BITS = 8192, 32768
+#: So many ranges of rows reach the scan as a condition; more are joined.
+RANGES = 200
+
+
+def _gram_bits(text: Column) -> Column:
+    """The bits of a text's distinct runs of three characters."""
+    last = F.length(text) - 2
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(3)))
+    bits = F.transform(F.array_distinct(grams), lambda g: F.pmod(F.xxhash64(g), F.lit(SIGNATURE_BITS)))
+    return F.when(last > 0, bits).otherwise(F.array().cast("array<bigint>"))
+
+
+def signatures(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, first_row, last_row, bitmap): for each block of rows the runs of three characters in
+    any of its cells, hashed to the bits of a bitmap of 4 KB. To be stored beside the cells."""
+    texts = [_gram_bits(F.lower(F.col(f"`{c}`.{side}"))) for c in cells.value_columns(df)
+             for side in ("original", "normalized")]
+    bits = F.array_distinct(F.flatten(F.array(*[F.coalesce(t, F.array().cast("array<bigint>")) for t in texts])))
+    block = F.floor(F.col("row_index") / block_rows)
+    rows = df.select("row_index", block.alias("block"), F.explode_outer(bits).alias("bit"))
+    return rows.groupBy("block").agg(
+        F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"),
+        F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def may_hold(signed: DataFrame, needle: str) -> DataFrame:
+    """The signed blocks in which every run of three characters of the needle occurs."""
+    bits = signed.sparkSession.range(1).select(_gram_bits(F.lower(F.lit(needle)))).first()[0]
+    hit = F.lit(True)
+    for b in bits:
+        byte = F.conv(F.hex(F.substring("bitmap", b // 8 + 1, 1)), 16, 10).cast("int")
+        hit &= F.floor(byte / (1 << b % 8)).cast("int") % 2 == 1
+    return signed.where(hit)
+
+
+def _rows_that_may_hold(df: DataFrame, signed: DataFrame, needle: str) -> DataFrame:
+    found = may_hold(signed, needle).select("first_row", "last_row")
+    few = sorted(tuple(r) for r in found.limit(RANGES + 1).collect())
+    if len(few) > RANGES:
+        inside = F.col("row_index").between(F.col("first_row"), F.col("last_row"))
+        width = signed.agg(F.max(F.col("last_row") - F.col("first_row") + 1)).first()[0]
+        # Blocks and rows meet by equal multiples of the widest block: an equi-join.
+        near = found.select("*", F.explode(F.array_distinct(F.array(
+            F.floor(F.col("first_row") / width), F.floor(F.col("last_row") / width)))).alias("__at"))
+        near = near.withColumnRenamed("__at", "__near")
+        return df.join(near, (F.floor(F.col("row_index") / width) == F.col("__near")) & inside, "left_semi")
+    ranges: list[list[int]] = []
+    for first, last in few:
+        if ranges and ranges[-1][1] + 1 >= first:
+            ranges[-1][1] = last
+        else:
+            ranges.append([first, last])
+    # These reach the scan: row groups of other blocks are not read.
+    return df.where(reduce(lambda a, b: a | b, [F.col("row_index").between(a, b) for a, b in ranges], F.lit(False)))
+
+
+def search_any_cell(df: DataFrame, text: str, signed: DataFrame | None = None) -> DataFrame:
+    """Rows where any original or normalized value contains the text, ignoring case.
+
+    With the table's stored `signatures`, blocks of rows that cannot hold the text are left out
+    before any text is read. Texts of less than three characters gain nothing by that.
+    """
     needle = text.strip().lower()
     if not needle:
         return df
+    if signed is not None and len(needle) >= 3:
+        df = _rows_that_may_hold(df, signed, needle)
     hits = [
         F.coalesce(F.lower(F.col(f"`{c}`.{side}")).contains(needle), F.lit(False))
         for c in cells.value_columns(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
-    Only a session without that setting (local tests) gets a folder of its own.
+    Only a session on one machine gets a folder of its own where that is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabulith-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tabulith-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

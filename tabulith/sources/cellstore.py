@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulith.functions import cells
-from tabulith.operators import inference
+from tabulith.operators import filters, inference
 
 
 def write_cells(df: DataFrame, path: str, dataset_id: int) -> None:
@@ -55,6 +55,16 @@ def _forget_kinds(spark: SparkSession, path: str, dataset_id: int) -> None:
     spark.createDataFrame([], "column string, kind string").write.mode("overwrite").parquet(_kinds(path, dataset_id))
 
 
+def write_signatures(spark: SparkSession, path: str, dataset_id: int, **options) -> None:
+    """Keep the search signatures of a stored dataset beside it (see `filters.signatures`)."""
+    made = filters.signatures(read_cells(spark, path, dataset_id), **options)
+    made.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_signatures/dataset_id={dataset_id}")
+
+
+def read_signatures(spark: SparkSession, path: str, dataset_id: int) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/_signatures/dataset_id={dataset_id}")
+
+
 def write_kinds(spark: SparkSession, path: str, dataset_id: int) -> None:
     """Infer the kinds of a stored dataset's columns and keep them beside it, a row per column."""
     kinds = inference.infer_column_kinds(read_cells(spark, path, dataset_id))

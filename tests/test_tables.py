@@ -134,6 +134,49 @@ def test_files(spark, tmp_path):
     assert plain.columns == ["row_index", "col_1", "col_2"] and plain.count() == 2
 
 
+def test_signatures_skip_blocks(spark, tmp_path):
+    rows = [(f"name{i}", "needle in hay" if i in (705, 2301) else f"straw {i % 7}") for i in range(3000)]
+    cellstore.write_cells(table(spark, ["a", "b"], rows), str(tmp_path / "c"), 1)
+    cellstore.write_signatures(spark, str(tmp_path / "c"), 1, block_rows=100)
+    stored, signed = cellstore.read_cells(spark, str(tmp_path / "c"), 1), cellstore.read_signatures(spark, str(tmp_path / "c"), 1)
+    for text in ("NEEDLE", "name27", "straw 3", "no such thing", "ne", " Hay"):
+        plain = indices(filters.search_any_cell(stored, text))
+        assert indices(filters.search_any_cell(stored, text, signed)) == plain
+    read = filters._rows_that_may_hold(stored, signed, "needle in")
+    assert read.count() <= 0.1 * 3000 and "row_index" in str(read._jdf.queryExecution().optimizedPlan())
+    before, filters.RANGES = filters.RANGES, 1  # more ranges than a condition should have
+    try:
+        assert indices(filters.search_any_cell(stored, "needle", signed)) == [705, 2301]
+    finally:
+        filters.RANGES = before
+
+
+def test_pages_far_down(spark, tmp_path, monkeypatch):
+    """Pages found by counting are those of the whole order, with ties, NULLs and either direction."""
+    monkeypatch.setattr(paging, "NEAR", 20)
+    monkeypatch.setattr(paging, "SAMPLE", 40)
+    monkeypatch.setattr(paging, "RANGES", 4)
+    rng = random.Random(2)
+    values = [rng.choice([None, "x", "7", str(rng.randrange(40)), f"t{rng.randrange(500)}", "5" if i % 3 else "6"]) for i in range(600)]
+    cellstore.write_cells(table(spark, ["v"], [(v,) for v in values]), str(tmp_path / "c"), 1)
+    t = cellstore.read_cells(spark, str(tmp_path / "c"), 1)
+    for order, kind, offset in (("asc", "number", 333), ("desc", "number", 580), ("asc", "text", 100), ("desc", "text", 599)):
+        whole = [r.row_index for r in paging.sort_rows(t, "v", order, kind).collect()]
+        page = paging.paginate(t, "v", order, kind, limit=25, offset=offset)
+        assert [r.row_index for r in page.collect()] == whole[offset:offset + 25], (order, kind, offset)
+    whole = [r.row_index for r in paging.slice_sort(t, "v", "desc").collect()]
+    assert [r.row_index for r in paging.table_slice(t, 400, 130, "v", "desc").collect()] == whole[400:530]
+    assert paging.table_slice(t, 700, 30).count() == 0
+
+
+def test_numeric_filters_reach_the_scan(spark, tmp_path):
+    cellstore.write_cells(table(spark, ["amount"], [("$5.50",), ("1,200 kg",), ("x",), (None,)]), str(tmp_path / "c"), 1)
+    stored = cellstore.read_cells(spark, str(tmp_path / "c"), 1)
+    found = filters.filter_gt(stored, "amount", "$5")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert indices(found) == [0, 1] and "GreaterThan(amount.plain,5.0)" in plan, plan
+
+
 def rows_read(spark, path, **options):
     return [tuple(r) for r in delimited.read_delimited(spark, str(path), **options).orderBy("row_index").collect()]
 
