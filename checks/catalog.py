@@ -83,6 +83,8 @@ QUERIES = {
     "name_conflicts": lambda s, sf: catalog.name_conflicts(fixture(s, sf, "fx_datasets")),
     "claim_unique_names": lambda s, sf: headers.claim_unique_names(
         fixture(s, sf, "fx_datasets"), "enterprise_id", "dataset_id", "name"),
+    "claim_folder_names": lambda s, sf: headers.claim_folder_names(
+        fixture(s, sf, "fx_datasets").withColumn("name", F.repeat(F.upper("name"), F.lit(40))), "enterprise_id", "dataset_id", "name"),
     "reorder_folders": lambda s, sf: catalog.reorder_folders(
         fixture(s, sf, "fx_folders"),
         fixture(s, sf, "fx_folders").where("privacy = 'private'").select("folder_id", (-F.col("folder_id")).alias("place"))
@@ -156,6 +158,9 @@ SELECT access_class, position, dataset_id FROM r WHERE position <= 20""",
     "member_list": with_("fx_memberships", "fx_users") + "SELECT m.enterprise_id, m.user_id, u.login, m.role, m.has_token FROM fx_memberships m JOIN fx_users u ON u.user_id = m.user_id",
     "name_conflicts": with_("fx_datasets") + """SELECT dataset_id, enterprise_id, name, lower(name) AS collision_key, uses FROM
  (SELECT *, count(*) OVER (PARTITION BY enterprise_id, lower(name)) AS uses FROM fx_datasets) WHERE uses > 1""",
+    "claim_folder_names": with_("fx_datasets") + """SELECT dataset_id, enterprise_id, CASE WHEN k = 1 THEN n ELSE left(n, 254 - length(k::VARCHAR)) || '_' || k END AS unique_name FROM
+ (SELECT *, row_number() OVER (PARTITION BY enterprise_id, lower(n) ORDER BY dataset_id) AS k FROM
+  (SELECT *, left(trim(repeat(upper(name), 40)), 255) AS n FROM fx_datasets))""",
     "claim_unique_names": with_("fx_datasets") + """SELECT dataset_id, enterprise_id, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS unique_name FROM
  (SELECT *, row_number() OVER (PARTITION BY enterprise_id, lower(name) ORDER BY dataset_id) AS k FROM fx_datasets)""",
     "reorder_folders": with_("fx_folders") + """SELECT folder_id, enterprise_id, name, row_number() OVER (PARTITION BY enterprise_id

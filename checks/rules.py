@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tabulith import fixed
+
 NULLS = "('null','none','na','n/a','nan','-','')"
 NUM = r"'^[-+]?[0-9]*\.?[0-9]+$'"
 ISO = r"'^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?$'"
@@ -57,7 +59,7 @@ def looks_like_money(x: str) -> str:
     )
 
 
-UNIT = "sq ft|sq m|sqft|tons|sqm|gal|kph|lbs|m/s|mph|ton|cm|ft|in|kg|km|lb|mg|mi|ml|mm|oz|pt|qt|sq|yd|°c|°f|c|f|g|k|l|m|t"
+UNIT = "|".join(sorted(fixed.UNITS, key=lambda u: (-len(u), u)))  # longer ones first
 QTY = r"-?[0-9]+(?:[.,][0-9]+)*"
 MEASURE = rf"'(?i)^(?:{QTY}\s+({UNIT})|({UNIT})\s+{QTY})$'"
 FACTORS = (
@@ -123,15 +125,7 @@ def contains_phrase(h: str, n: str) -> str:
     return f"({h} <> '' AND {n} <> '' AND contains(' ' || {h} || ' ', ' ' || {n} || ' '))"
 
 
-STOP = (
-    "a an the is are was were be been being have has had do does did will would could should may might "
-    "shall can need dare ought used to of in for on with at by from as into through during before after "
-    "above below between out off over under again further then once here there when where why how all each "
-    "every both few more most other some such no nor not only own same so than too very just because but and "
-    "or if while about what which who whom this that these those am it its i me my myself we our ours you "
-    "your yours he him his she her hers they them their theirs tell show find get give know think say make go "
-    "see come take want look use many much"
-).split()
+STOP = fixed.STOP_WORDS
 STOP_LIST = "[" + ",".join(f"'{w}'" for w in STOP) + "]"
 
 

@@ -15,7 +15,9 @@ SYMBOL_CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "I
 
 # --- fixed values: symbols and codes that mark a money-looking value ---
 MONEY_SYMBOLS = "$€£¥₩₹฿₺₽"
-MONEY_CODES = "USD EUR GBP JPY CAD AUD CHF CNY INR KRW THB TRY RUB".split()
+MONEY_CODES = [
+    "USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "CNY", "INR", "KRW", "THB", "TRY", "RUB",
+]
 
 # --- fixed values: symbol shown in front of an amount ---
 DISPLAY_SYMBOLS = {
@@ -62,42 +64,52 @@ UNITS = {
     "sqft": None,
 }
 
+# --- fixed values: where a header's camel case is split, and what joins its words ---
+CAMEL_HUMPS = [r"([A-Z]+)([A-Z][a-z])", r"([a-z\d])([A-Z])"]
+NOT_A_WORD = r"(?U)[^\w]+"
+
 # --- fixed values: words that carry no meaning as keywords ---
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should "
-    "may might shall can need dare ought used to of in for on with at by from as into through "
-    "during before after above below between out off over under again further then once here "
-    "there when where why how all each every both few more most other some such no nor not only "
-    "own same so than too very just because but and or if while about what which who whom this "
-    "that these those am it its i me my myself we our ours you your yours he him his she her "
-    "hers they them their theirs tell show find get give know think say make go see come take "
-    "want look use many much"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can",
+    "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from",
+    "as", "into", "through", "during", "before", "after", "above", "below", "between", "out",
+    "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where",
+    "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such",
+    "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "because",
+    "but", "and", "or", "if", "while", "about", "what", "which", "who", "whom", "this", "that",
+    "these", "those", "am", "it", "its", "i", "me", "my", "myself", "we", "our", "ours", "you",
+    "your", "yours", "he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs",
+    "tell", "show", "find", "get", "give", "know", "think", "say", "make", "go", "see", "come",
+    "take", "want", "look", "use", "many", "much",
+]
 
 # --- fixed values: words that tell what a question asks for ---
-MAX_WORDS = "most highest max maximum largest top".split()
-MIN_WORDS = "least lowest min minimum smallest fewest".split()
-SUM_WORDS = "sum total".split()
-AVERAGE_WORDS = "average avg mean".split()
-COUNT_WORDS = "count many number".split()
-METRIC_WORDS = (
-    "amount sale total box ship qty quantity count number price cost revenue volume"
-).split()
+MAX_WORDS = ["most", "highest", "max", "maximum", "largest", "top"]
+MIN_WORDS = ["least", "lowest", "min", "minimum", "smallest", "fewest"]
+SUM_WORDS = ["sum", "total"]
+AVERAGE_WORDS = ["average", "avg", "mean"]
+COUNT_WORDS = ["count", "many", "number"]
+METRIC_WORDS = [
+    "amount", "sale", "total", "box", "ship", "qty", "quantity", "count", "number", "price",
+    "cost", "revenue", "volume",
+]
 
 # --- fixed values: roles a question can ask about, and the column words that serve them ---
 ROLE_QUESTION_WORDS = {
-    "person": "who seller sold sale salesperson sales person name".split(),
-    "product": "product item sku brand flavor".split(),
-    "location": "where country region market city state location".split(),
-    "date": "when date day month year time".split(),
+    "person": ["who", "seller", "sold", "sale", "salesperson", "sales", "person", "name"],
+    "product": ["product", "item", "sku", "brand", "flavor"],
+    "location": ["where", "country", "region", "market", "city", "state", "location"],
+    "date": ["when", "date", "day", "month", "year", "time"],
 }
 ROLE_COLUMN_WORDS = {
-    "person": (
-        "sale sales salesperson seller person name rep agent employee staff owner".split()
-    ),
-    "product": "product item sku brand flavor".split(),
-    "location": "country region market city state location".split(),
-    "date": "date day month year time".split(),
+    "person": [
+        "sale", "sales", "salesperson", "seller", "person", "name", "rep", "agent", "employee",
+        "staff", "owner",
+    ],
+    "product": ["product", "item", "sku", "brand", "flavor"],
+    "location": ["country", "region", "market", "city", "state", "location"],
+    "date": ["date", "day", "month", "year", "time"],
 }
 
 # --- fixed values: order in which tied type votes are settled (later wins) ---

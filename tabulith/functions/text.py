@@ -58,9 +58,9 @@ def normalize_header(col: Column, unicode_form: bool = True) -> Column:
     """Header text to snake_case; `unicode_form` folds compatibility characters first."""
     c = to_nfkc(col) if unicode_form else col
     c = collapse_spaces(F.coalesce(c, F.lit("")))
-    c = F.regexp_replace(c, r"([A-Z]+)([A-Z][a-z])", "$1_$2")
-    c = F.regexp_replace(c, r"([a-z\d])([A-Z])", "$1_$2")
-    c = F.regexp_replace(F.lower(c), r"(?U)[^\w]+", "_")
+    for hump in fixed.CAMEL_HUMPS:
+        c = F.regexp_replace(c, hump, "$1_$2")
+    c = F.regexp_replace(F.lower(c), fixed.NOT_A_WORD, "_")
     return F.btrim(F.regexp_replace(c, "_+", "_"), F.lit("_"))
 
 

@@ -98,15 +98,32 @@ def claim_unique_names(df: DataFrame, scope: str, id_: str, name: str) -> DataFr
 
 
 def claim_folder_names(df: DataFrame, scope: str, id_: str, name: str) -> DataFrame:
-    """Folder names likewise; the base is cut so that the suffix fits the allowed length."""
+    """Folder names likewise; the base is cut so that the suffix fits the allowed length.
+
+    Names that differ only where a suffix might cut them are numbered together, by the part that
+    no suffix reaches: with one number, they would be the same after the cut. Numbers that some
+    name already ends with are passed over.
+    """
     length = fixed.FOLDER_NAME_LENGTH
+    reach = length - 11  # a suffix has ten digits at most
     cleaned = F.substring(F.trim(F.col(name)), 1, length)
-    named = df.select(id_, scope, cleaned.alias("__base"), F.lower(cleaned).alias("__folded"))
-    counted = numbered(named, [scope, "__folded"], id_)
-
-    def spell(base: Column, number: Column) -> Column:
-        room = F.lit(length) - F.length(number) - 1
-        return F.concat(F.left(base, room), F.lit("_"), number)
-
-    out = _unique_names(counted, [scope], "__base", spell, key=F.lower)
-    return out.select(id_, scope, F.col("__name").alias("unique_name"))
+    stem = lambda text: F.lower(F.left(text, F.lit(reach)))
+    named = df.select(id_, scope, cleaned.alias("__base"), F.lower(cleaned).alias("__folded"),
+                      stem(cleaned).alias("__stem"))
+    counted = numbered(named, [scope, "__folded"], id_, "__use")
+    again = numbered(counted.where("__use > 1"), [scope, "__stem"], id_)
+    pattern = r"^(.*)_([1-9][0-9]{0,8})$"
+    taken = (
+        named.select(scope, "__folded").distinct().select(
+            scope, F.regexp_extract("__folded", pattern, 1).alias("__of"),
+            F.regexp_extract("__folded", pattern, 2).try_cast("int").alias("__number"))
+        .where("__number >= 2").select(F.col(scope).alias("__scope"), stem(F.col("__of")).alias("__of"), "__number")
+        .groupBy("__scope", "__of").agg(F.array_sort(F.collect_set("__number")).alias("__taken"))
+    )
+    number = F.aggregate(
+        F.coalesce("__taken", F.array().cast("array<int>")), (F.col("__k") + 1).cast("int"),
+        lambda n, t: F.when(t <= n, n + 1).otherwise(n)).cast("string")
+    spelled = F.concat(F.left("__base", F.lit(length) - F.length(number) - 1), F.lit("_"), number)
+    same = F.col(scope).eqNullSafe(F.col("__scope")) & (F.col("__stem") == F.col("__of"))
+    return counted.where("__use = 1").select(id_, scope, F.col("__base").alias("unique_name")).unionByName(
+        again.join(taken, same, "left").select(id_, scope, spelled.alias("unique_name")))

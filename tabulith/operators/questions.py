@@ -21,10 +21,10 @@ from tabulith.operators import inference
 from tabulith.session import materialize, small_side
 
 # --- fixed values: phrases that tell how a question wants its rows ---
-SINGLE_ROW = r"\b(?:one|single)\s+(?:deal|transaction|row|entry|order|sale|shipment)\b"
+SINGLE_ROW = r"\b(one|single)\s+(deal|transaction|row|entry|order|sale|shipment)\b"
 SINGLE_DAY = r"\b(?:in|on)\s+(?:a|an|one)\s+day\b"
 DAY_GROUPS = r"\b(?:by|per|each)\s+day\b|\b(?:what|which)\s+day\b|\bdate\s+with\b"
-ALL_ROWS = r"\b(?:total|sum|average|avg|mean|combined|overall|all)\b"
+ALL_ROWS = r"\b(total|sum|average|avg|mean|combined|overall|all)\b"
 GROUP_ASKED = (
     r"\b(?:what|which)\s+([a-z0-9_ ]{1,48}?)\s+(?:has|have|had|with|is|are|sold|ship|shipped)\b"
 )

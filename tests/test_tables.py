@@ -280,9 +280,12 @@ def test_unique_names(spark, monkeypatch):
     claimed = headers.claim_unique_names(
         spark.createDataFrame([(None, i, n) for i, n in enumerate(["T", "t", "T_2", "!!"])], "e int, id int, n string"), "e", "id", "n")
     assert [r["unique_name"] for r in claimed.orderBy("id").collect()] == ["T", "t_3", "T_2", "table"]
+    long = ["x" * 300, "x" * 300, "x" * 254 + "a", "X" * 254 + "A", "x" * 254 + "b", "x" * 254 + "b", "x" * 253 + "_2", "f", "F", "f_2"]
     folders = headers.claim_folder_names(
-        spark.createDataFrame([(1, i, "x" * 300) for i in range(2)], "e int, id int, n string"), "e", "id", "n")
-    assert [len(r["unique_name"]) for r in folders.collect()] == [255, 255]
+        spark.createDataFrame([(1, i, n) for i, n in enumerate(long)], "e int, id int, n string"), "e", "id", "n")
+    got = {r["id"]: r["unique_name"] for r in folders.collect()}
+    assert len({n.lower() for n in got.values()}) == len(long) and max(map(len, got.values())) == 255
+    assert [got[i] for i in (0, 2, 4, 6, 7, 8, 9)] == ["x" * 255, long[2], long[4], long[6], "f", "F_3", "f_2"]
 
 
 @pytest.fixture(scope="module")
