@@ -336,7 +336,7 @@ def _recall(sample: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
 
 
 def ann_index(
-    vectors: DataFrame, k: int = 10, lists: int | None = None, recall: float = 0.95, seed: int = 42
+    vectors: DataFrame, k: int = 10, lists: int | None = None, recall: float = 0.98, seed: int = 42
 ) -> Inverted:
     """File the rows (row_index, embedding) under their nearest centre.
 
@@ -397,7 +397,7 @@ def ann_search(index: Inverted, queries: DataFrame, k: int = 5, probes: int | No
 
 
 def ann_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | None = None, recall: float = 0.95,
+    vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | None = None, recall: float = 0.98,
     seed: int = 42,
 ) -> DataFrame:
     """Approximate: only rows in the lists that a query looks into are scored (see `ann_index`)."""
