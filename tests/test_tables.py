@@ -375,7 +375,7 @@ def test_plans(spark, products, tmp_path):
     assert stored.count() == 6 and stored.schema["date"].metadata["kind"] == "date"
     total = plan(aggregation.aggregate(stored, [{"agg": "sum", "column": "revenue"}], "region",
                                        conditions=[where("region", "!=", "West")]))
-    assert "ReadSchema: struct<revenue:struct<normalized:string>,region:struct<normalized:string>>" in total
+    assert "ReadSchema: struct<revenue:struct<plain:double>,region:struct<normalized:string>>" in total
     assert "Not(EqualTo(region.normalized,West))" in total
     assert "TakeOrderedAndProject" in plan(paging.sort_rows(stored, "revenue").limit(5))
     groups = aggregation.aggregate(stored, [{"agg": "count", "column": None}], "region", limit=2)
