@@ -45,13 +45,27 @@ class Key(NamedTuple):
 
 
 def _place(key: Key, name: str, bounds: list) -> Column:
-    """The range a row falls in, in the order of the key: between two bounds, on a bound, or NULL."""
+    """The range a row falls in, in the order of the key: between two bounds, on a bound, or NULL.
+    A search by halves: a row is compared with few of the bounds."""
     c = F.col(name)
-    at = sum(((c > b).cast("int") * 2 + (c == b).cast("int") for b in bounds), F.lit(0))
+
+    def among(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(2 * first)
+        half = (first + last) // 2
+        return (F.when(c < bounds[half], among(first, half)).when(c == bounds[half], 2 * half + 1)
+                .otherwise(among(half + 1, last)))
+
+    at = among(0, len(bounds))
     at = F.lit(2 * len(bounds)) - at if key.down else at
     return F.when(c.isNull(), 0 if key.nulls_first else 2 * len(bounds) + 2).otherwise(at + 1)
 
 
+def _range_counts(rows: DataFrame, place: Column) -> DataFrame:
+    """(place, n) of the ranges that hold rows; a row's place is worked out once."""
+    return rows.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _parts(rows: DataFrame, keys: list[Key], at: int, n: int, skip: int, limit: int) -> list[DataFrame]:
     """DataFrames that hold the rows `skip` to `skip + limit` of the `n` rows, whose keys before
     `at` are all equal."""
@@ -65,10 +79,9 @@ def _parts(rows: DataFrame, keys: list[Key], at: int, n: int, skip: int, limit:
     found = sorted({r[0] for r in some.limit(4 * SAMPLE).collect() if r[0] == r[0]})
     bounds = sorted({found[i * len(found) // RANGES] for i in range(RANGES)}) if found else []
     place = _place(keys[at], name, bounds)
-    ranges = 2 * len(bounds) + 3
-    counts = rows.agg(*[F.count_if(place == i).alias(f"n{i}") for i in range(ranges)]).first()
+    counts = sorted(_range_counts(rows, place).collect())
     out, whole, before = [], [], 0
-    for i, count in enumerate(counts):
+    for i, count in counts:
         first, last = max(0, skip - before), min(count, skip + limit - before)
         before += count
         if first >= last:
