@@ -159,9 +159,16 @@ def filter_row_indices(df: DataFrame, conditions: list[dict] | None, max_rows: i
     )
 
 
-def rows_by_indices(df: DataFrame, indices: list[int], columns: list[str] | None = None) -> DataFrame:
+def rows_by_indices(
+    df: DataFrame, indices: list[int] | DataFrame, columns: list[str] | None = None
+) -> DataFrame:
     """Rows in the requested order, repeats kept; `position` is the place in the request. With
-    `columns` only those are returned, as original values."""
+    `columns` only those are returned, as original values.
+
+    Many requests at once come as a table: see `requested_rows`, where a missing row is no error.
+    """
+    if isinstance(indices, DataFrame):
+        return requested_rows(project_columns(df, columns) if columns else df, indices)
     if not indices or min(indices) < 0:
         raise ValueError("non-negative row indices expected")
     spark = df.sparkSession

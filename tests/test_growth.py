@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks import filters as filter_checks
 from tabulith.operators import paging
 
 
@@ -31,3 +32,16 @@ def test_deep_page_over_equal_keys_and_nulls(spark, monkeypatch):
         page = [r[0] for r in paging.page_of(rows, keys, 25, 180).collect()]
         order = [k.order(n) for k, n in zip(keys, ("k", "t", "row_index"))]
         assert page == [r[0] for r in rows.orderBy(*order).collect()][180:205]
+
+
+def test_rows_by_indices_serves_every_request(spark):
+    """Was seven fixed indices at any size of the table."""
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "row_index long, v string")
+    asked = spark.createDataFrame([("a", [3, 1, 3]), ("b", [9])], "request_id string, indices array<bigint>")
+    found = paging.rows_by_indices(rows, asked).select("request_id", "position", "row_index", "v", "found")
+    assert sorted(map(tuple, found.collect())) == [
+        ("a", 0, 3, "v3", True), ("a", 1, 1, "v1", True), ("a", 2, 3, "v3", True), ("b", 0, 9, None, False)]
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    n = orders.count() + orders.select("o_custkey").distinct().count()
+    assert filter_checks.QUERIES["rows_by_indices"](spark, sf).count() == n
