@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from checks import filters as filter_checks
-from tabulith.operators import paging
+from checks import filters as filter_checks, fixtures
+from tabulith.functions import cells, numbers
+from tabulith.operators import inference, paging
 
 
 def plan(df):
@@ -45,3 +46,42 @@ def test_rows_by_indices_serves_every_request(spark):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     n = orders.count() + orders.select("o_custkey").distinct().count()
     assert filter_checks.QUERIES["rows_by_indices"](spark, sf).count() == n
+
+
+TEXTS = [
+    None, "", " ", "5", " 5 ", "5.", ".5", "-.5", "+5", "--5", "5-3", "1-2", "-", "1.2.3", "1,200.50", "(5k)", "(5", "5)", "(1)\n(2)",
+    "3 kg", "kg 3", "1.2.3 kg", "3 m2", "abc", "a.b5", "5-LOW", "4-NOT SPECIFIED", "$ 7", "$x", "7 USD", "USD", "usd9", "9 rub", "12 usda",
+    "2024-01-31", "31/01/2024", "01-31-24", "20240131", "2024-W05-3", "2024-W05", "2024/1/2 10:30", "2024-01-31T10:00:00Z",
+    "\u2003 8\u00a0", "x\ny", "n/a", "a  b", "9" * 400, "5m", "5 mi", "1\n", "é5"]
+
+
+def test_has_number_is_what_parse_number_reads(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    both = rows.select("t", numbers.has_number(F.col("t")).alias("has"), numbers.parse_number(F.col("t")).alias("n"))
+    assert [r["t"] for r in both.collect() if bool(r["has"]) != (r["n"] is not None)] == []
+    strict = rows.select(numbers.sql_number(F.col("t")).alias("new"), F.nullif(
+        F.regexp_replace("t", r"[^0-9.\-]", ""), F.lit("")).try_cast("double").alias("old"))
+    assert [r for r in strict.collect() if r["new"] != r["old"]] == []
+
+
+def test_a_query_works_out_only_the_fields_it_reads(spark):
+    """Every field of every cell was parsed for the types alone."""
+    raw = spark.createDataFrame([(i, t, t) for i, t in enumerate(TEXTS)], "row_index long, a string, b string")
+    table = cells.normalize_row(raw, ["a", "b"], money_columns={"a"}, measurement_columns={"a", "b"})
+    types = plan(table.select("a.type", F.col("b.normalized").alias("b")))
+    assert "currency" not in types and "USD" not in types, types
+
+
+def test_types_and_kinds_of_stored_cells_follow_the_plain_rules(spark):
+    raw = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "row_index long, a string")
+    table = cells.normalize_row(raw, ["a"], measurement_columns={"a"})
+    for c in (table, table.withColumn("a", F.col("a").withField("type", F.lit(None).cast("string")))):
+        assert inference.verdicts(inference.infer_column_kinds(c)) == {"a": "number"}
+        assert inference.verdicts(inference.infer_types_stored(c))["a"] in ("number", "date")
+
+
+def test_large_tables_are_stored_in_parts_of_bounded_size(spark, monkeypatch):
+    """The number of parts was that of the cores at any size, and the rows were parsed twice."""
+    monkeypatch.setattr(fixtures, "PART_ROWS", 50)
+    rows = fixtures.raw_rows(spark, "/root/testdata/sf0.001", "fx_sales")
+    assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, rows.count() // 50)
