@@ -1,9 +1,12 @@
 """What keeps work in proportion to the tables: plans, passes and whole jobs."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from checks import filters as filter_checks, fixtures
-from tabulith.functions import cells, numbers
+from tabulith.functions import cells, numbers, text
 from tabulith.operators import inference, paging
 
 
@@ -85,3 +88,39 @@ def test_large_tables_are_stored_in_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "PART_ROWS", 50)
     rows = fixtures.raw_rows(spark, "/root/testdata/sf0.001", "fx_sales")
     assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, rows.count() // 50)
+
+
+def test_texts_with_currency_signs_stay_out_of_python(spark):
+    """A euro sign sent the whole table through Python, for a form that it has already."""
+    stable = re.compile(rf"[{re.sub(r'x{([0-9A-F]+)}', r'u\1', text.NFC_STABLE)}]")
+    later = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0x110000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            later.add(chr(int(parts[1], 16)))
+    for c in filter(stable.match, map(chr, range(0x10000))):
+        assert unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c) and c not in later, hex(ord(c))
+    rows = spark.createDataFrame([(0, "€ 5", "é"), (1, "Ж 中", "x")], "row_index long, a string, b string")
+    assert inference.infer_hints(rows, ["a", "b"])["unicode_columns"] == {"b"}
+
+
+def test_shortcuts_of_the_parse_give_what_the_plain_rules_give(spark):
+    """Most values took every pattern there is: numbers and words in plain spelling need few."""
+    more = ["5\n", "5 ", "a  b", " - ", "NaN ", "\tx", "0.00001 g", "-0.00001 kg", "1,5 lb", "2.50 oz", "+5", "~", "€", "5é"]
+    raw = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS + more)], "row_index long, a string")
+    a = F.col("a")
+    same = [
+        (text.strip_column(a), text.strip(a)),
+        (text.normalize_trimmed(text.strip(a)), text.normalize_text_value(a)),
+        (numbers.parse_number(text.strip(a), stripped=True), numbers._loose_number(text.strip(a))),
+        (numbers.sql_number(a), numbers._strict_digits(a)),
+        (text.starts_with_digit(a), a.rlike("^[0-9]")),
+        (text.is_nfc_suspect(a), a.rlike(text.NFC_SUSPECT)),
+    ]
+    found = raw.select("a", *[x.eqNullSafe(y).alias(f"s{i}") for i, (x, y) in enumerate(same)])
+    assert [r for r in found.collect() if not all(r[1:])] == []
+    value = spark.createDataFrame([(x,) for x in (0.0, -0.00001, 0.00005, 1.25, -3.14159, 1e20, 12345.67895, float("inf"))], "x double")
+    shown = numbers.format_measurement(F.col("x"), F.lit("m"))
+    plain = F.concat(F.when((F.col("x") == F.floor("x")) & (F.abs("x") < 1e15), F.col("x").try_cast("bigint").cast("string")).otherwise(
+        F.regexp_replace(F.format_string("%.4f", F.col("x")), r"\.?0+$", "")), F.lit(" m"))
+    assert [r for r in value.select("x", shown.alias("s"), plain.alias("p")).collect() if r["s"] != r["p"]] == []
