@@ -10,8 +10,9 @@ two less, the substrings that can be such a segment: only starts that leave few
 either side. Lines that meet, and whose counts of common characters allow for it, are compared by
 a bit-parallel edit distance kept to the band of diagonals within two of the main one.
 
-Different lines are stored once; they pass as 64-bit hashes until two have met. NULL texts have no lines; the text of a document
-that loses nothing stays as it is. Repeated rows (equal id and text) are one document, so they
+Lines pass as numbers and 64-bit hashes until two have met; only the texts of those move, and in the
+end the documents that lose lines. NULL texts have no lines; the text of a document that loses nothing
+stays as it is. Repeated rows (equal id and text) are one document, so they
 keep the same lines. Empty tables give no rows. `clean` keeps extra columns.
 """
 
@@ -19,41 +20,48 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabulith.llm.common import connected, free, materialize, narrowed, table
+from tabulith.llm.common import connected, free, marked, materialize, narrowed, table
 
 EDITS, SHORTEST = 2, 24
-#: Characters whose counts, packed into one number, are compared before texts are.
-COMMON = " etaoinsrhldcumg"
+#: Characters whose counts in the ends of lines, packed into 24 bits, are compared before texts are.
+COMMON, ENDS, BAG = "etaoinsr", 72, 24
 
 
-def entries(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, own: bool = False) -> DataFrame:
-    """(sig, id, …) of each line (id, line, …): what a line is looked up under, or with `own` only
-    what it is indexed under, which is part of the former.
+def signed(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """To lines (line, …): `own`, an array of what a line is indexed under, and `more`, of what else
+    it is looked up under; NULL where a segment would not fit. An entry is 40 bits of a hash before
+    the 24 of the line's spectrum.
 
     A line of n characters has edits + 1 segments of n // (edits + 1) characters, the last ones
     one longer. Looked up is, for a line `less` characters shorter and its segment i, each start
     that leaves at most i edits before the segment and at most edits - i after it.
     """
     parts = edits + 1
-    tries = [
-        (less, i, shift)
-        for less in range(parts) for i in range(parts)
-        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
-        if not own or (less == 0 and shift == 0)
-    ]
-    rest = [c for c in lines.columns if c not in ("id", "line")]
-    tried = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift"))
-                      for a, b, c in tries])
-    each = lines.select("id", "line", *rest, F.char_length("line").alias("n"), F.explode(tried).alias("t"))
-    each = each.select("id", "line", *rest, "n", (F.col("n") - F.col("t.less")).alias("of"), "t.i", "t.shift")
-    base, more = F.expr(f"of div {parts}"), F.col("of") % parts
-    size = base + (more >= parts - F.col("i")).cast("int")
-    start = 1 + base * F.col("i") + F.greatest(F.lit(0), F.col("i") + more - parts)
-    each = each.select("id", "line", *rest, "n", "of", "i", size.cast("int").alias("size"),
-                       (start + F.col("shift")).cast("int").alias("at"))
-    return each.where(
-        (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")) & (F.col("of") >= shortest)
-    ).select(F.xxhash64("of", "i", F.substring("line", F.col("at"), F.col("size"))).alias("sig"), "id", *rest)
+    rest = [c for c in lines.columns if c != "line"]
+    # Step by step: what several expressions read is worked out once.
+    n, line, ends = F.char_length("line"), F.col("line"), F.lit(ENDS)
+    step = lines.select(*rest, "line", n.alias("n"), F.when(n <= 2 * ends, line).otherwise(
+        F.concat(F.left(line, ends), F.right(line, ends))).alias("ends"))
+    step = step.select(*rest, "line", "n", spectrum(F.col("ends")).cast("long").alias("bag"), *[
+        f(F.col("n") - less).alias(f"{name}{less}") for less in range(parts)
+        for name, f in (("base", lambda of: F.floor(of / parts).cast("int")), ("over", lambda of: of % parts))])
+    segments = [(less, i) for less in range(parts) for i in range(parts)]
+    step = step.select(*rest, "line", "n", "bag", *[
+        c for less, i in segments for base, over in [(F.col(f"base{less}"), F.col(f"over{less}"))] for c in (
+            (base + (over >= parts - i).cast("int")).alias(f"size{less}_{i}"),
+            (1 + base * i + F.greatest(F.lit(0), i + over - parts)).alias(f"at{less}_{i}"))])
+
+    def entry(less: int, i: int, shift: int) -> Column:
+        of, size, at = F.col("n") - less, F.col(f"size{less}_{i}"), F.col(f"at{less}_{i}") + shift
+        fits = (at >= 1) & (at + size - 1 <= F.col("n")) & (of >= shortest)
+        sig = F.xxhash64(of, F.lit(i), F.substring(line, at, size))
+        return F.when(fits, F.shiftleft(sig, BAG).bitwiseOR(F.col("bag")))
+
+    tries = [(less, i, shift) for less, i in segments
+             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    own = [t for t in tries if t[0] == t[2] == 0]
+    return step.select(*rest, F.array(*[entry(*t) for t in own]).alias("own"),
+                       F.array(*[entry(*t) for t in tries if t not in own]).alias("more"))
 
 
 def _common(a: Column, b: Column, most: Column, end: bool) -> Column:
@@ -98,21 +106,27 @@ def letters(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
         "short", "long", "start", "end")
 
 
-def spectrum(line: Column) -> Column:
-    """How often each of 16 common characters occurs, modulo 16, four bits each. An edit changes
-    two of the counts by one at most."""
-    n, packed = F.char_length(line), F.lit(0).cast("long")
+def spectrum(ends: Column) -> Column:
+    """How often each of 8 common characters occurs in the ends of a line, modulo 8, three bits each:
+    in its first and last `ENDS` characters, or the whole line if there are no more.
+
+    In a line of no more than both ends, or further in than one of them, an edit changes one of the
+    counts by one, or two of them: what it pushes out of an end or draws in is one character. Nor do
+    more of them change where one of two lines is a little longer than both ends: the characters
+    left out in its middle are no more than those put in.
+    """
+    size, packed = F.char_length(ends), F.lit(0)
     for i, c in enumerate(COMMON):
-        count = (n - F.char_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15))
-        packed = packed.bitwiseOR(F.shiftleft(count.cast("long"), 4 * i))
+        count = (size - F.char_length(F.replace(ends, F.lit(c), F.lit("")))).bitwiseAND(F.lit(7))
+        packed = packed.bitwiseOR(F.shiftleft(count, 3 * i))
     return packed
 
 
 def alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether two spectra allow for lines within `edits` edits: counts differ by no less than
-    they do modulo 16, the shorter way round."""
-    lane = lambda x, i: F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("long"))
-    apart = [8 - F.abs(8 - F.abs(lane(a, i) - lane(b, i))) for i in range(len(COMMON))]
+    """Whether two spectra, the last 24 bits of a and b, allow for lines within `edits` edits: counts
+    differ by no less than they do modulo 8, the shorter way round."""
+    lane = lambda x, i: F.shiftright(x, 3 * i).bitwiseAND(F.lit(7).cast("long"))
+    apart = [4 - F.abs(4 - F.abs(lane(a, i) - lane(b, i))) for i in range(len(COMMON))]
     return sum(apart[1:], apart[0]) <= 2 * edits
 
 
@@ -201,31 +215,41 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     )
 
 
-def links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(a, b): ids of different lines (id, line) within `edits` edits, each pair once.
+def links(lines: DataFrame, again: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """(a, b): ids of different lines (id, line) within `edits` edits, each pair once. `again` has the
+    ids that occur more than once.
 
-    Copies go first, combined before the shuffle: a line that stands in a third of all documents
-    has its signatures once. Signatures are worked out once for each side of one join, whose
-    condition compares spectra, so that few pairs come out; texts are looked up for those only.
-    Stored lines are numbered on the way: numbers of neighbours differ in their last bytes only,
-    so they shuffle in less room than hashes.
+    Texts stay where they are. Each line's signatures, 40 bits beside the 24 of its spectrum, are
+    stored with its number: numbers of neighbours differ in their last bytes only, so they shuffle
+    in less room than hashes. Copies are combined: a line that stands in a third of all documents
+    has its signatures once. The signatures a line is indexed under are dealt once for both of the
+    joins, whose conditions compare spectra, so that few pairs come out; texts are looked up for
+    those only.
     """
-    unique = materialize(
-        lines.select(F.col("id").alias("hash"), "line").distinct()
-        .withColumn("id", F.monotonically_increasing_id()).withColumn("bag", spectrum(F.col("line"))), "unique")
-    known = unique.select("id", "line", "bag")
-    a, b = entries(known, edits, shortest, own=True).alias("a"), entries(known, edits, shortest).alias("b")
+    each = marked(lines.select("id", "line"), F.col("id"), again, "copied")
+    each = signed(each.withColumn("no", F.monotonically_increasing_id()), edits, shortest)
+    each = materialize(each, "signed")
+    copies = materialize(
+        each.where("copied").groupBy("id", "own", "more").agg(F.min("no").alias("no")), "copies")
+    known = each.where("not copied").select("id", "no", "own", "more").unionByName(copies)
+
+    def met(b: DataFrame, apart: Column) -> DataFrame:
+        same = F.shiftright("a.x", BAG) == F.shiftright("b.x", BAG)
+        return own.alias("a").join(
+            b.alias("b"), same & apart & alike(F.col("a.x"), F.col("b.x"), edits)
+        ).select(F.least("a.no", "b.no").alias("a"), F.greatest("a.no", "b.no").alias("b"))
+
+    own, more = (known.select("no", F.explode(c).alias("x")).where("x is not null") for c in ("own", "more"))
     pairs = materialize(
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") != F.col("b.id"))
-               & alike(F.col("a.bag"), F.col("b.bag"), edits))
-        .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-        .distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = narrowed(unique.select("id", "hash", "line"), F.col("id"), ids)
-    # Not a semi-join, which the optimizer would put below the bitmap.
-    texts = materialize(texts.join(ids, "id"), "texts")
-    of_a = texts.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), F.col("line").alias("line_a"))
-    of_b = texts.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), F.col("line").alias("line_b"))
+        met(own, F.col("a.no") < F.col("b.no")).union(met(more, F.col("a.no") != F.col("b.no"))).distinct(), "pairs")
+    numbers = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    # Not semi-joins, which the optimizer would put below the bitmap.
+    hashes = materialize(
+        narrowed(known.select("no", "id"), F.col("no"), numbers).join(numbers, "no"), "hashes")
+    texts = narrowed(lines.select("id", "line"), F.col("id"), hashes.select("id")).distinct()
+    texts = materialize(texts.join(hashes, "id"), "texts")
+    of_a = texts.select(F.col("no").alias("a"), F.col("id").alias("hash_a"), F.col("line").alias("line_a"))
+    of_b = texts.select(F.col("no").alias("b"), F.col("id").alias("hash_b"), F.col("line").alias("line_b"))
     both = pairs.join(of_a, "a").join(of_b, "b").where(
         plausible(F.col("line_a"), F.col("line_b"), edits))
     both = letters(both.select("hash_a", "hash_b", "line_a", "line_b"), edits)
@@ -237,7 +261,11 @@ def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
     """doc_id, th, gone: the places of each document's lines that repeat an earlier one."""
     lines = lines_of(docs, shortest)
     places = materialize(lines.select("doc_id", "th", "no", "id"), "places")
-    roots = connected(links(lines, edits, shortest), "lines")
+    again = materialize(places.groupBy("id").count().where("count > 1").select("id"), "again")
+    roots = connected(links(lines, again, edits, shortest), "lines")
+    # The other lines are alone in their class.
+    places = materialize(
+        narrowed(places, F.col("id"), again.union(roots.select(F.col("node").alias("id")))), "shared")
     firsts = places.groupBy("id").agg(
         F.min(F.struct("doc_id", "th", "no")).alias("first"), F.count("*").alias("n"))
     of = firsts.join(roots, F.col("id") == F.col("node"), "left").where(
@@ -256,20 +284,28 @@ def clean(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     """All rows and columns of `docs` (doc_id, text, …), repeated lines taken out of `text`; adds
     `__lines` and `__gone`, the numbers of lines before and lost, in place of columns of such names."""
     docs = docs.drop("__lines", "__gone")
-    d, x, g = free(docs, "d"), free(docs, "x"), free(docs, "g")
-    gone = repeated(docs, edits, shortest).select(
+    d, x, g, m = (free(docs, stem) for stem in "dxgm")
+    gone = materialize(repeated(docs, edits, shortest), "gone").select(
         F.col("doc_id").alias(d), F.col("th").alias(x), F.col("gone").alias(g))
+    # Only the documents that lose lines, and a few others, move.
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    each = marked(docs, key, gone.select(F.xxhash64(d, x)), m)
+    stay = _without(each.where(~F.col(m)).withColumn(g, F.lit(None).cast("array<int>")), docs.columns, g)
     # The smaller side is hashed: sorting would move every text once more.
-    both = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(d))
-                     & (F.xxhash64(docs["text"]) == F.col(x)), "left")
-    parts = F.split(docs["text"], "\n")
+    both = each.where(m).join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d))
+                              & (F.xxhash64("text") == F.col(x)), "left")
+    return stay.unionByName(_without(both, docs.columns, g))
+
+
+def _without(docs: DataFrame, columns: list[str], g: str) -> DataFrame:
+    """`clean`'s columns, of documents with the numbers of the lines that go in column `g`."""
+    parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g))
     text = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    return both.select(
-        *[F.when(F.col(g).isNull(), docs["text"]).otherwise(text).alias("text")
-          if c == "text" else docs[c] for c in docs.columns],
-        (F.char_length(docs["text"]) - F.char_length(F.replace(docs["text"], F.lit("\n"), F.lit("")))
-         + 1).cast("long").alias("__lines"),
+    return docs.select(
+        *[F.when(F.col(g).isNull(), F.col("text")).otherwise(text).alias("text")
+          if c == "text" else F.col(f"`{c}`") for c in columns],
+        F.when(F.col("text").isNotNull(), F.size(parts)).cast("long").alias("__lines"),
         F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long").alias("__gone"))
 
 
