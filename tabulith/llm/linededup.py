@@ -8,10 +8,11 @@ A line is cut into three segments; two edits leave at least one of them as it wa
 indexed under (its length, segment number, segment), and looks up, for its own length and up to
 two less, the substrings that can be such a segment: only starts that leave few enough edits on
 either side. Lines that meet, and whose counts of common characters allow for it, are compared by
-a bit-parallel edit distance kept to the band of diagonals within two of the main one.
+an edit distance kept to the band of diagonals within two of the main one. Where very many lines
+stand under one signature, they are compared as they meet, so that only links come out.
 
-Lines pass as numbers and 64-bit hashes until two have met; only the texts of those move, and in the
-end the documents that lose lines. NULL texts have no lines; the text of a document that loses nothing
+Lines pass as numbers and 64-bit hashes until two have met, or stand under a signature of very many;
+only the texts of those move, and in the end the documents that lose lines. NULL texts have no lines; the text of a document that loses nothing
 stays as it is. Repeated rows (equal id and text) are one document, so they
 keep the same lines. Empty tables give no rows. `clean` keeps extra columns.
 """
@@ -21,10 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulith.llm.common import connected, free, marked, materialize, narrowed, table
+from tabulith.session import methods_split, small_side
 
 EDITS, SHORTEST = 2, 24
 #: Characters whose counts in the ends of lines, packed into 24 bits, are compared before texts are.
 COMMON, ENDS, BAG = "etaoinsr", 72, 24
+#: A signature that this many of one line in `ONE_IN` are indexed under is a crowded one. It decides on
+#: where lines are compared, not on whether.
+MANY, ONE_IN = 8, 4
 
 
 def signed(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -40,13 +45,14 @@ def signed(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Da
     rest = [c for c in lines.columns if c != "line"]
     # Step by step: what several expressions read is worked out once.
     n, line, ends = F.char_length("line"), F.col("line"), F.lit(ENDS)
-    step = lines.select(*rest, "line", n.alias("n"), F.when(n <= 2 * ends, line).otherwise(
+    plain = F.octet_length("line") == n  # a byte per character: no walk through the text to find one
+    step = lines.select(*rest, "line", n.alias("n"), plain.alias("plain"), line.cast("binary").alias("raw"), F.when(n <= 2 * ends, line).otherwise(
         F.concat(F.left(line, ends), F.right(line, ends))).alias("ends"))
-    step = step.select(*rest, "line", "n", spectrum(F.col("ends")).cast("long").alias("bag"), *[
+    step = step.select(*rest, "line", "n", "plain", "raw", spectrum(F.col("ends")).cast("long").alias("bag"), *[
         f(F.col("n") - less).alias(f"{name}{less}") for less in range(parts)
         for name, f in (("base", lambda of: F.floor(of / parts).cast("int")), ("over", lambda of: of % parts))])
     segments = [(less, i) for less in range(parts) for i in range(parts)]
-    step = step.select(*rest, "line", "n", "bag", *[
+    step = step.select(*rest, "line", "n", "plain", "raw", "bag", *[
         c for less, i in segments for base, over in [(F.col(f"base{less}"), F.col(f"over{less}"))] for c in (
             (base + (over >= parts - i).cast("int")).alias(f"size{less}_{i}"),
             (1 + base * i + F.greatest(F.lit(0), i + over - parts)).alias(f"at{less}_{i}"))])
@@ -54,7 +60,9 @@ def signed(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Da
     def entry(less: int, i: int, shift: int) -> Column:
         of, size, at = F.col("n") - less, F.col(f"size{less}_{i}"), F.col(f"at{less}_{i}") + shift
         fits = (at >= 1) & (at + size - 1 <= F.col("n")) & (of >= shortest)
-        sig = F.xxhash64(of, F.lit(i), F.substring(line, at, size))
+        part = F.when(F.col("plain"), F.substring(F.col("raw"), at, size)).otherwise(
+            F.substring(line, at, size).cast("binary"))
+        sig = F.xxhash64(of, F.lit(i), part)
         return F.when(fits, F.shiftleft(sig, BAG).bitwiseOR(F.col("bag")))
 
     tries = [(less, i, shift) for less, i in segments
@@ -64,48 +72,6 @@ def signed(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Da
                        F.array(*[entry(*t) for t in tries if t not in own]).alias("more"))
 
 
-def _common(a: Column, b: Column, most: Column, end: bool) -> Column:
-    """How many characters, `most` at most, two texts have in common at the start (or end): found
-    bit by bit, from the highest."""
-    def part(x: Column, n: Column) -> Column:
-        return F.right(x, n) if end else F.left(x, n)
-
-    def longer(n: Column, bit: Column) -> Column:
-        more = n + bit
-        return F.when((more <= most) & (part(a, more) == part(b, more)), more).otherwise(n)
-
-    return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(30))]), F.lit(0), longer)
-
-
-def letters(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """To rows with line_a and line_b: `x`, a struct (rows, cols) of the characters of the shorter
-    and the longer line, without what they have in common at either end but for a few characters.
-    That leaves the distance as it is."""
-    swap = F.char_length("line_a") > F.char_length("line_b")
-    pairs = pairs.withColumns({
-        "short": F.when(swap, F.col("line_b")).otherwise(F.col("line_a")),
-        "long": F.when(swap, F.col("line_a")).otherwise(F.col("line_b"))})
-
-    def fix(df: DataFrame, **columns: Column) -> DataFrame:
-        # What comes out of explode() isn't worked out again wherever it is used.
-        rest = [c for c in df.columns if c not in columns]
-        struct = F.struct(*[v.alias(k) for k, v in columns.items()])
-        return df.select(*rest, F.explode(F.array(struct)).alias("__s")).select(*rest, "__s.*")
-
-    few = F.lit(edits + 1)
-    pairs = fix(pairs, start=_common(F.col("short"), F.col("long"), F.char_length("short"), False))
-    rest = F.char_length("short") - F.col("start")
-    pairs = fix(pairs, end=_common(F.col("short"), F.col("long"), rest, True))
-    start = F.greatest(F.lit(0), F.col("start") - few)
-    end = F.greatest(F.lit(0), F.col("end") - few)
-
-    def middle(c: str) -> Column:
-        return F.split(F.substring(F.col(c), start + 1, F.char_length(c) - start - end), "")
-
-    return fix(pairs, x=F.struct(middle("short").alias("rows"), middle("long").alias("cols"))).drop(
-        "short", "long", "start", "end")
-
-
 def spectrum(ends: Column) -> Column:
     """How often each of 8 common characters occurs in the ends of a line, modulo 8, three bits each:
     in its first and last `ENDS` characters, or the whole line if there are no more.
@@ -130,80 +96,9 @@ def alike(a: Column, b: Column, edits: int) -> Column:
     return sum(apart[1:], apart[0]) <= 2 * edits
 
 
-def plausible(a: Column, b: Column, edits: int = EDITS, parts: int = 8) -> Column:
-    """Whether two lines may be within `edits` edits: of `parts` pieces of the shorter one, all but
-    `edits` must stand in the other, moved by no more than that. Cheap, and never wrong in saying
-    no; lines that merely share a segment fail it."""
-    swap = F.char_length(a) > F.char_length(b)
-    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    m, found = F.char_length(short), F.lit(0)
-    for k in range(parts):
-        at = F.floor(m * k / parts).cast("int")
-        size = F.floor(m * (k + 1) / parts).cast("int") - at
-        around = F.substring(long, F.greatest(F.lit(1), at + 1 - edits), size + 2 * edits)
-        found = found + F.contains(around, F.substring(short, at + 1, size)).cast("int")
-    return found >= parts - edits
-
-
-def within(rows: Column, cols: Column, edits: int = EDITS) -> Column:
-    """Whether two arrays of characters, each longer than `edits` and the first no longer than the
-    second, are within `edits` edits. Both should be columns that are there already: the steps
-    look into them again and again.
-
-    Column j of the distance matrix is two words of 2 * edits + 2 bits, for vertical steps up and
-    down in the rows around the diagonal; a column's words follow from the last one's by a fixed
-    number of word operations. The distance is read along the lowest diagonal of the band, then
-    along the last row.
-    """
-    width = 2 * edits + 2
-    top, full = width - 1, (1 << width) - 1
-    m, n = F.size(rows), F.size(cols)
-
-    def long(x: Column) -> Column:
-        return x.cast("long")
-
-    def matches(char: Column, j: Column) -> Column:
-        same = F.lit(0).cast("long")
-        for bit in range(width):
-            hit = F.get(rows, j + (edits - top + bit - 1)) == char
-            same = same.bitwiseOR(F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-        return same
-
-    def step(s: Column, j: Column) -> Column:  # j from 1
-        same = _put(F.get(cols, j - 1), lambda char: matches(char, j))
-        # `_put` names intermediate words once, so that none is worked out twice.
-        return _put(same, lambda x: _put(
-            (x.bitwiseAND(s["up"]) + s["up"]).bitwiseXOR(s["up"]).bitwiseOR(x)
-            .bitwiseOR(s["down"]).bitwiseAND(F.lit(full).cast("long")),
-            lambda d: _put(
-                s["down"].bitwiseOR(F.bitwise_not(d.bitwiseOR(s["up"])))
-                .bitwiseAND(F.lit(full).cast("long")),
-                lambda right: _put(
-                    d.bitwiseAND(s["up"]),
-                    lambda left: F.struct(
-                        long(left.bitwiseOR(F.bitwise_not(F.shiftright(d, 1).bitwiseOR(right)))
-                             .bitwiseAND(F.lit(full).cast("long"))).alias("up"),
-                        long(F.shiftright(d, 1).bitwiseAND(right)).alias("down"),
-                        long(s["distance"] + F.when(
-                            j + edits <= m, 1 - F.shiftright(d, top).bitwiseAND(F.lit(1).cast("long"))
-                        ).otherwise(_bit(right, j, m, edits, top) - _bit(left, j, m, edits, top))
-                        ).alias("distance"))))))
-
-    start = F.struct(
-        F.lit(((1 << (edits + 1)) - 1) << (top - edits)).cast("long").alias("up"),
-        F.lit(0).cast("long").alias("down"), F.lit(edits).cast("long").alias("distance"))
-    found = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["distance"])
-    return (n - m <= edits) & (found <= edits)
-
-
-def _put(value: Column, use) -> Column:
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _bit(word: Column, j: Column, m: Column, edits: int, top: int) -> Column:
-    """The bit of the last row in column j: 2 to the power of its place divides it out."""
-    at = F.greatest(F.lit(0), F.lit(top) - (j + edits - m))
-    return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long"))
+def near(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Whether two lines are within `edits` edits, counted in characters."""
+    return F.levenshtein(a, b, edits) >= 0
 
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
@@ -224,25 +119,42 @@ def links(lines: DataFrame, again: DataFrame, edits: int = EDITS, shortest: int
     in less room than hashes. Copies are combined: a line that stands in a third of all documents
     has its signatures once. The signatures a line is indexed under are dealt once for both of the
     joins, whose conditions compare spectra, so that few pairs come out; texts are looked up for
-    those only.
+    those only. Near copies of one long line differ where spectra don't look: signatures that very
+    many lines are indexed under are left to a join that has the texts of these lines.
     """
     each = marked(lines.select("id", "line"), F.col("id"), again, "copied")
     each = signed(each.withColumn("no", F.monotonically_increasing_id()), edits, shortest)
-    each = materialize(each, "signed")
+    with methods_split(lines.sparkSession):
+        each = materialize(each, "signed")
     copies = materialize(
         each.where("copied").groupBy("id", "own", "more").agg(F.min("no").alias("no")), "copies")
     known = each.where("not copied").select("id", "no", "own", "more").unionByName(copies)
 
-    def met(b: DataFrame, apart: Column) -> DataFrame:
-        same = F.shiftright("a.x", BAG) == F.shiftright("b.x", BAG)
-        return own.alias("a").join(
-            b.alias("b"), same & apart & alike(F.col("a.x"), F.col("b.x"), edits)
-        ).select(F.least("a.no", "b.no").alias("a"), F.greatest("a.no", "b.no").alias("b"))
-
     own, more = (known.select("no", F.explode(c).alias("x")).where("x is not null") for c in ("own", "more"))
+    sig = F.shiftright("x", BAG)
+    crowded = own.where(F.pmod(F.xxhash64("no"), F.lit(ONE_IN)) == 0).groupBy(sig.alias("sig")).count()
+    crowded = materialize(crowded.where(F.col("count") >= MANY).select("sig"), "crowded")
+
+    def met(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
+        same = F.shiftright("a.x", BAG) == F.shiftright("b.x", BAG)
+        return a.alias("a").join(b.alias("b"), same & apart & alike(F.col("a.x"), F.col("b.x"), edits))
+
+    def either(own: DataFrame, more: DataFrame, *found: Column, close: Column = F.lit(True)) -> DataFrame:
+        """Of all that meet and are `close`."""
+        return met(own, own, (F.col("a.no") < F.col("b.no")) & close).select(*found).union(
+            met(own, more, (F.col("a.no") != F.col("b.no")) & close).select(*found)).distinct()
+
+    busy = None
+    if not crowded.isEmpty():
+        few = small_side(crowded)
+        busy = [materialize(df.join(few, sig == F.col("sig"), "left_semi"), "busy") for df in (own, more)]
+        own = own.join(few, sig == F.col("sig"), "left_anti")  # so the rest of `more` meets none of them
     pairs = materialize(
-        met(own, F.col("a.no") < F.col("b.no")).union(met(more, F.col("a.no") != F.col("b.no"))).distinct(), "pairs")
-    numbers = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+        either(own, more, F.least("a.no", "b.no").alias("a"), F.greatest("a.no", "b.no").alias("b")), "pairs")
+    numbers = pairs.select(F.explode(F.array("a", "b")).alias("no"))
+    for df in busy or []:
+        numbers = numbers.union(df.select("no"))
+    numbers = numbers.distinct()
     # Not semi-joins, which the optimizer would put below the bitmap.
     hashes = materialize(
         narrowed(known.select("no", "id"), F.col("no"), numbers).join(numbers, "no"), "hashes")
@@ -250,11 +162,14 @@ def links(lines: DataFrame, again: DataFrame, edits: int = EDITS, shortest: int
     texts = materialize(texts.join(hashes, "id"), "texts")
     of_a = texts.select(F.col("no").alias("a"), F.col("id").alias("hash_a"), F.col("line").alias("line_a"))
     of_b = texts.select(F.col("no").alias("b"), F.col("id").alias("hash_b"), F.col("line").alias("line_b"))
-    both = pairs.join(of_a, "a").join(of_b, "b").where(
-        plausible(F.col("line_a"), F.col("line_b"), edits))
-    both = letters(both.select("hash_a", "hash_b", "line_a", "line_b"), edits)
-    return both.where(within(F.col("x.rows"), F.col("x.cols"), edits)).select(
-        F.least("hash_a", "hash_b").alias("a"), F.greatest("hash_a", "hash_b").alias("b")).distinct()
+    found = pairs.join(of_a, "a").join(of_b, "b").where(near(F.col("line_a"), F.col("line_b"), edits)).select(
+        F.least("hash_a", "hash_b").alias("a"), F.greatest("hash_a", "hash_b").alias("b"))
+    if busy:
+        found = found.union(either(
+            *[df.join(texts, "no") for df in busy],
+            F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"),
+            close=near(F.col("a.line"), F.col("b.line"), edits)))
+    return found.distinct()
 
 
 def repeated(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -299,7 +214,9 @@ def clean(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
 
 def _without(docs: DataFrame, columns: list[str], g: str) -> DataFrame:
     """`clean`'s columns, of documents with the numbers of the lines that go in column `g`."""
-    parts = F.split("text", "\n")
+    # A column of its own: in the lambda, the text would be split again for each line.
+    p = free(docs, "p")
+    docs, parts = docs.withColumn(p, F.split("text", "\n")), F.col(p)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g))
     text = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     return docs.select(
